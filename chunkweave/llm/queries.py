@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkweave.llm import chat, urlfilter
+from chunkweave.llm.bpe import round_trip
 from chunkweave.llm.chat import rotate_perspectives
+from chunkweave.llm.media import find_copies, media_column
 from chunkweave.llm.minhash import near_duplicates
 from chunkweave.llm.nbsvm import quality_scores
 from chunkweave.llm.packing import best_fit_packing
@@ -34,10 +36,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(spark, media_column(table(spark, sf_dir, "embeddings")))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -64,7 +74,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_media_columns": op2_media_columns,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filters": op5_url_filters,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
