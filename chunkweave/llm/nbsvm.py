@@ -216,15 +216,37 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, trai
     rows are scored each.  Without usable labels of both classes every text gets
     the score of the one class seen, or 0.5.  A null id is not held out.
     """
+    shared = shared_model(spark, docs, labels, train_rows, id_col, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = sorted(training_rows(own, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), train_rows), key=lambda r: (r["doc_id"], r["text"]))
-    model = fit([r["text"] for r in sample], [r["quality"] for r in sample])
-    shared = spark.sparkContext.broadcast(model)  # 2 x BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, body, offsets in textops.chunks(batch.column(1), 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.scores(body, offsets))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch_scores(shared.value, batch.column(1)))], names=["doc_id", "score"])
 
     scored = own.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
+def shared_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text"):
+    """The fitted model, broadcast: 2 x BUCKETS numbers whatever the input's size."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    sample = sorted(training_rows(own, known, train_rows), key=lambda r: (r["doc_id"], r["text"]))
+    return spark.sparkContext.broadcast(fit([r["text"] for r in sample], [r["quality"] for r in sample]))
+
+
+def batch_scores(model: Model, texts: pa.Array) -> np.ndarray:
+    parts = [model.scores(body, offsets) for _, _, body, offsets in textops.chunks(texts, 1 << 20)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows predicted 1, with all their columns; no shuffle."""
+    shared = shared_model(spark, docs, labels, train_rows, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col))
+            yield batch.filter(pa.array(batch_scores(shared.value, texts) >= cutoff))
+
+    return docs.mapInArrow(run, docs.schema)

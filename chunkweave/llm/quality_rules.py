@@ -196,12 +196,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     that do not occur count for nothing.  Null strata are one stratum.  Repeated
     ids are judged row by row.
     """
-    scratch = Scratch(spark, "quality")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    found = scratch.save(document_features(own), "features")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marked = found.withColumns(signals())
-    cuts = thresholds(marked.join(known, "doc_id"), alpha, delta)
+    marked, cuts = certified(spark, docs, labels, alpha, delta, id_col, text_col, stratum_col)
     verdicts = []
     for rule, direction in RULES.items():
         strata = {s: c for (s, r), c in cuts.items() if r == rule}
@@ -213,3 +208,53 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = marked.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.alias("rules"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rules") == "")).alias("kept"), "rules")
+
+
+def certified(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str, text_col: str, stratum_col: str) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+    """The signals of every row, and the cutoffs that its labelled rows certify."""
+    scratch = Scratch(spark, "quality")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
+    found = scratch.save(document_features(own), "features")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marked = found.withColumns(signals())
+    return marked, thresholds(marked.join(known, "doc_id"), alpha, delta)
+
+
+def keep_passing(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows that pass base and rules, with all their columns.
+
+    The counts are taken again in the filtering pass: cheaper than a shuffle of
+    the texts, and right for repeated and null ids.
+    """
+    _, cuts = certified(spark, docs, labels, alpha, delta, id_col, text_col, stratum_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            strata = [s or "" for s in batch.column(names.index(stratum_col)).to_pylist()]
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b, body, offsets in textops.chunks(batch.column(names.index(text_col))):
+                keep[a:b] = passes(features(body, offsets), strata[a:b], cuts)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def passes(f: dict[str, np.ndarray], strata: list[str], cuts: dict[tuple[str, str], int]) -> np.ndarray:
+    """What `apply_rules` calls kept, for one run of texts."""
+    w, c = np.maximum(f["n_words"], 1), np.maximum(f["word_chars"], 1)
+    value = {
+        "symbol_permille": f["n_symbols"] * 1000 // w,
+        "repeat_permille": f["n_repeat_words"] * 1000 // w,
+        "dup_line_permille": f["n_dup_lines"] * 1000 // np.maximum(f["n_lines"], 1),
+        "upper_permille": f["n_upper"] * 1000 // c,
+        "word_chars_deci_high": f["word_chars"] * 10 // w,
+        "word_chars_deci_low": f["word_chars"] * 10 // w,
+    }
+    ok = (f["n_words"] >= MIN_WORDS) & (100 * f["n_repeat_words"] <= REPEAT_PERCENT * f["n_words"])
+    for rule, direction in RULES.items():
+        v = np.minimum(value[rule], GRID - 1)
+        off = GRID if direction == ">" else -1
+        cut = np.array([cuts.get((s, rule), off) for s in strata])
+        ok &= v <= cut if direction == ">" else v >= cut
+    return ok
