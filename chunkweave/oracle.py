@@ -1,5 +1,5 @@
 """SQL of each query, for an independent engine."""
 
-ORACLE_SQL: dict[str, str] = {
-    "chunk_stats": "select lang, count(*) as chunks, cast(sum(length(text)) as bigint) as chars from documents group by lang",
-}
+from chunkweave.plans import chunks
+
+ORACLE_SQL: dict[str, str] = {**chunks.ORACLE_SQL}

@@ -1,18 +1,11 @@
-"""One query per operator of the inventory."""
+"""One query per operator of the inventory, gathered from the plans."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chunkweave.session import table
+from chunkweave.plans import chunks
 
-
-def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters and texts per language."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"chunk_stats": chunk_stats}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**chunks.QUERIES}
