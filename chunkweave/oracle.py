@@ -1,5 +1,5 @@
 """SQL of each query, for an independent engine."""
 
-from chunkweave.plans import chunks, graphs
+from chunkweave.plans import chunks, graphs, raptor
 
-ORACLE_SQL: dict[str, str] = {**chunks.ORACLE_SQL, **graphs.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**chunks.ORACLE_SQL, **graphs.ORACLE_SQL, **raptor.ORACLE_SQL}

@@ -6,6 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.plans import chunks, graphs
+from chunkweave.plans import chunks, graphs, raptor
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**chunks.QUERIES, **graphs.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**chunks.QUERIES, **graphs.QUERIES, **raptor.QUERIES}
