@@ -1,5 +1,5 @@
 """SQL of each query, for an independent engine."""
 
-from chunkweave.plans import chunks, graphs, raptor
+from chunkweave.plans import chunks, formats, graphs, raptor, streams
 
-ORACLE_SQL: dict[str, str] = {**chunks.ORACLE_SQL, **graphs.ORACLE_SQL, **raptor.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**chunks.ORACLE_SQL, **graphs.ORACLE_SQL, **raptor.ORACLE_SQL, **formats.ORACLE_SQL, **streams.ORACLE_SQL}

@@ -6,6 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.plans import chunks, graphs, raptor
+from chunkweave.plans import chunks, formats, graphs, raptor, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**chunks.QUERIES, **graphs.QUERIES, **raptor.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**chunks.QUERIES, **graphs.QUERIES, **raptor.QUERIES, **formats.QUERIES, **streams.QUERIES}
