@@ -51,6 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of one Arrow batch where texts go to Python: a batch of whole texts stays a few MB.
+TEXT_BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read many times.
 
@@ -59,6 +70,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
