@@ -137,9 +137,16 @@ def _skip(text: str, i: int, marks: str) -> int:
     return i
 
 
+_GOES_ON = re.compile(r"\s*([.?:+*/%&|=,{(\[)<-]|(where|extends|implements|throws|from|else|catch|finally)\b)")
+
+
 def statement_end(text: str, i: int, marks: str = "\"'`") -> int:
-    """End of the statement that starts at i: its closing brace, or its semicolon or line outside brackets."""
+    """End of the statement that starts at i: its closing brace, or its semicolon or line outside brackets.
+
+    A line ends a statement unless its last or the next line's first character joins them.
+    """
     depth, opened = 0, False
+    begun = i
     while i < len(text):
         j = _skip(text, i, marks)
         if j > i:
@@ -156,6 +163,8 @@ def statement_end(text: str, i: int, marks: str = "\"'`") -> int:
                 return i + 1 + (rest.end() if rest and ";" in rest.group() else 0)
         elif depth == 0 and (c == ";" or (c == "\n" and opened)):
             return i + 1
+        elif depth == 0 and c == "\n" and not re.search(r"[=+*/%&|?:,(<>.\]-]\s*$", text[begun:i]) and not _GOES_ON.match(text, i):
+            return i + 1
         i += 1
     return len(text)
 

@@ -74,6 +74,6 @@ def first_seen(events: DataFrame, keys: list[str], late: str = LATE) -> DataFram
 def watch_folder(spark: SparkSession, path: str, on_batch: Callable[[DataFrame, int], None], checkpoint: str, suffixes: tuple[str, ...] = (".txt", ".md")):
     """Feeds new files of a folder, as (file_path, content), to a callback in batches; returns the running query."""
     glob = "*{" + ",".join(suffixes) + "}"
-    files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    files = spark.readStream.schema("value string").option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
     return named.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
