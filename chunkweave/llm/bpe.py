@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.llm.tokens import SPLIT, PieceIds, token_lengths
+from chunkweave.session import small_batches
 
 NONE = np.int64(1 << 62)
 BATCH_CELLS = 1 << 21
@@ -195,6 +196,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     Encodes every whole text and decodes the ids again.  A null or empty text
     has no token; its hashes are those of nothing.  Ids are carried as they are.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.llm import textops
+from chunkweave.session import small_batches
 
 U64 = np.uint64
 BUCKET_BITS = 18
@@ -155,7 +156,7 @@ def fit(texts: list[str], labels: list[int], cost: float = 1.0, smooth: float =
     order = np.random.default_rng(3).permutation(len(texts))
     texts, y = [texts[i] for i in order], np.where(np.array(labels)[order] == 1, 1.0, -1.0)
     rows: list[np.ndarray] = []
-    for _, _, body, offsets in textops.chunks(pa.array(texts, pa.large_string())):
+    for _, _, body, offsets in textops.chunks(pa.array(texts, pa.large_string()), 1 << 18):
         row, bucket = indicators(body, offsets)
         cuts = np.searchsorted(row, np.arange(len(offsets)))
         rows += [bucket[cuts[k] : cuts[k + 1]].astype(np.int32) for k in range(len(offsets) - 1)]
@@ -229,6 +230,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, trai
 
 def shared_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text"):
     """The fitted model, broadcast: 2 x BUCKETS numbers whatever the input's size."""
+    small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     sample = sorted(training_rows(own, known, train_rows), key=lambda r: (r["doc_id"], r["text"]))
@@ -236,7 +238,7 @@ def shared_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_
 
 
 def batch_scores(model: Model, texts: pa.Array) -> np.ndarray:
-    parts = [model.scores(body, offsets) for _, _, body, offsets in textops.chunks(texts, 1 << 20)]
+    parts = [model.scores(body, offsets) for _, _, body, offsets in textops.chunks(texts, 1 << 18)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

@@ -18,7 +18,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _table(fold: bool) -> np.ndarray:
@@ -35,13 +35,16 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """First n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            step = np.full(size, base, U64)
-            step[0] = 1
-            _POWERS[k] = np.cumprod(step, dtype=U64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size, made = 1 << (n - 1).bit_length(), []
+    for base in (_BASE, _BASE_INV):
+        step = np.full(size, base, U64)
+        step[0] = 1
+        made.append(np.cumprod(step, dtype=U64))
+    if size <= 1 << 22:  # those for longer texts aren't kept
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -105,7 +105,7 @@ class PieceIds:
 
     def rows(self, column: pa.Array):
         """(row, ids) of each text in order; a null text counts as empty."""
-        for a, b, body, offsets in textops.chunks(column, 1 << 20):
+        for a, b, body, offsets in textops.chunks(column, 1 << 19):
             ids, bounds = self.chunk(body, offsets)
             for k in range(b - a):
                 yield a + k, ids[bounds[k] : bounds[k + 1]]
