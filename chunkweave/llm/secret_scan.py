@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkweave.session import small_batches
+
 WINDOW = 20
 #: Bits per character that a window must reach, by the class of its candidate.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
@@ -38,7 +40,8 @@ ALLOW = (
     r"([a-z]+[-_/])+[0-9]+",
     r"[0-9+/_=-]+",
 )
-_PLAIN = [(w * math.log2(w) if w else 0.0) for w in range(WINDOW + 1)]
+#: count * log2(count); a window holds one character more for a moment
+_PLAIN = [(w * math.log2(w) if w else 0.0) for w in range(WINDOW + 2)]
 
 
 def character_class(s: str) -> str:
@@ -50,7 +53,7 @@ def character_class(s: str) -> str:
 def entropy_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
     """Merged spans of the windows of s whose entropy reaches its class's threshold."""
     limit = thresholds[character_class(s)]
-    plain = _PLAIN if window == WINDOW else [(w * math.log2(w) if w else 0.0) for w in range(window + 1)]
+    plain = _PLAIN if window == WINDOW else [(w * math.log2(w) if w else 0.0) for w in range(window + 2)]
     counts: dict[str, int] = {}
     total = 0.0  # sum of count * log2(count): entropy = log2(window) - total / window
     most = (math.log2(window) - limit) * window + 1e-9
@@ -125,6 +128,8 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, id_col: str =
     method's too, which never overlap a base span.  Ids are carried as they are.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = _pattern(allow)
         for batch in batches:
@@ -145,6 +150,8 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, id_col: str =
 def redact_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, text_col: str = "text") -> DataFrame:
     """The same rows and columns, each secret in the text replaced; null texts stay null."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = _pattern(allow)
         for batch in batches:
