@@ -1,0 +1,476 @@
+"""Packing, BPE, near-duplicates, rules, classifier, shards and secrets against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from chunkweave.llm import bpe, minhash, nbsvm, packing, quality_rules, secret_scan, sharding, textops, tokens
+from chunkweave.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, _slot0 int, score int, u long, bucket long, length string"
+JSON = vocabulary("byte_bpe_50k.json")
+RANKS = vocabulary("byte_bpe_multi_50k.tiktoken")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def table(spark, rows):
+    """Rows (doc_id, text[, lang]) with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else "en", "s", 0, "x", "y", 1, 2, 3, 4, "z") for r in rows], SCHEMA)
+
+
+def hard_rows():
+    return [(1, None), (2, ""), (3, "   \n\t "), (4, "one two"), (5, "same text " * 30), (6, "same text " * 30), (None, "no id " * 20), (7, "é語🙂 " * 40), (8, "x" * 60_000), (9, " ".join(f"w{i}" for i in range(70_000))), (5, "same text " * 30)]
+
+
+def words_of(text):
+    return WORDS.findall(text or "")
+
+
+# --- words ----------------------------------------------------------------------
+
+
+def test_words_and_windows_match_plain_python():
+    texts = ["a b  c", "", " lead and trail ", "é ü\tß\nx", "one"]
+    body, offsets = textops.buffers(pa.array(texts))
+    w = textops.Words(body, offsets)
+    got = [[bytes(w.body[w.start[k] : w.end[k]]).decode() for k in range(w.bounds[r], w.bounds[r + 1])] for r in range(len(texts))]
+    assert got == [words_of(t) for t in texts]
+    h = w.hashes(fold=True)
+    found, bounds = textops.windows(h, w.bounds, 2, whole=True)
+    assert np.diff(bounds).tolist() == [2, 0, 2, 3, 1]
+    assert len(set(found.tolist())) == len(found)
+
+
+def test_sliced_and_null_columns():
+    col = pa.array(["zz", None, "b c", "d"]).slice(1)
+    body, offsets = textops.buffers(col)
+    assert bytes(body) == b"b cd" and offsets.tolist() == [0, 0, 3, 4]
+
+
+# --- 1: packing ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_places_every_piece_once_and_fills_well(seed):
+    rng = random.Random(seed)
+    shape = [lambda: rng.randint(1, 2048), lambda: min(2048, int(rng.lognormvariate(6, 1)) + 1), lambda: 2048, lambda: rng.choice([700, 690, 1025]), lambda: rng.randint(600, 1100), lambda: rng.choice([1, 2047])][seed]
+    have = Counter(shape() for _ in range(3000))
+    placed = packing.best_plan(have)
+    seen, rows = Counter(), defaultdict(list)
+    for n, rank, count, first, offset in placed:
+        assert rank == seen[n]
+        seen[n] += count
+        for k in range(count):
+            rows[first + k].append((offset, n))
+    assert seen == have
+    for parts in rows.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert sorted(rows) == list(range(len(rows)))
+    room: list[int] = []
+    for n in sorted(have.elements(), reverse=True):  # plain best fit, one piece at a time
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - n)
+        else:
+            room.append(2048 - n)
+    assert len(rows) <= len(room) * 1.01 + 1
+
+
+def test_configurations_cover_no_more_than_needed():
+    sizes, need = [1000, 700, 400], [30, 40, 50]
+    used = np.zeros(3)
+    for mix, times in packing.configurations(sizes, need, 2048):
+        assert mix @ np.array(sizes) <= 2048
+        used += mix * times
+    assert (used <= need).all() and used.sum() > 100
+
+
+def test_only_the_first_piece_is_short():
+    assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
+    assert packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
+    assert packing.cut(1, 2048) == [(0, 1)]
+
+
+def test_packing_hard_rows(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(JSON)
+    lib.encode_special_tokens = True
+    rows = hard_rows() + [(10, "a <|endoftext|> b")]
+    got = packing.best_fit_packing(spark, table(spark, rows), JSON, rows_per_rank=3).collect()
+    expected = Counter()
+    for i, text, *_ in rows:
+        ids = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for p, (s, n) in enumerate(packing.cut(len(ids), 2048)):
+            expected[i, p, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == expected
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+    assert len(by) <= math.ceil(sum(r["length"] for r in got) / 2048) + 1
+    assert packing.best_fit_packing(spark, table(spark, []), JSON).count() == 0
+
+
+# --- 4: bpe ---------------------------------------------------------------------------
+
+
+def odd_texts():
+    rng = random.Random(5)
+    letters = list("ab' \n\t.,1é\u3000\u00a0\x1c\x85語ß🙂thein")
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(2500)]
+    return [*made, "", " ", "  a", "a" * 6000, "ab" * 3000, "the " * 2000, "日本語" * 900, "don't we'll I'm", "<|endoftext|>"]
+
+
+def test_json_pieces_equal_the_library():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(JSON)
+    lib.encode_special_tokens = True
+    table_ = tokens.json_pieces(JSON)
+    texts = odd_texts()
+    for _ in range(2):  # from an empty, then from a filled table
+        assert [ids.tolist() for _, ids in table_.rows(pa.array(texts))] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_token_is_reached_by_its_merges():
+    """What makes the rank encoder the same function as the library."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(JSON)
+    backend = tokens.RankBackend(JSON)
+    assert backend.exact
+    words = [w for w in (lib.decode([i]) for i in range(256, 50256)) if w and "\ufffd" not in w]
+    lib.encode_special_tokens = True
+    for w, e in zip(words, lib.encode_batch(words, add_special_tokens=False)):
+        assert backend.ids(w).tolist() == e.ids
+
+
+def test_segment_tree_equals_tiktoken():
+    import tiktoken
+
+    ranks = bpe.read_ranks(RANKS)
+    enc = tiktoken.Encoding("m", pat_str=tokens.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    pieces, words, _ = bpe.coder(RANKS)
+    for text, (_, ids) in zip(odd_texts(), pieces.rows(pa.array(odd_texts()))):
+        assert ids.tolist() == enc.encode_ordinary(text)
+        assert b"".join(words[i] for i in ids.tolist()) == text.encode()
+
+
+def test_round_trip_hard_rows(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("m", pat_str=tokens.SPLIT, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rows = hard_rows()
+    got = bpe.round_trip(table(spark, rows), RANKS).collect()
+    expected = Counter()
+    for i, text, *_ in rows:
+        ids = enc.encode_ordinary(text or "")
+        expected[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in got) == expected
+    assert bpe.round_trip(table(spark, []), RANKS).count() == 0
+
+
+# --- 6: near-duplicates ------------------------------------------------------------------
+
+
+def shingles(text):
+    w = [re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in words_of(text)]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 70 * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary_ = [f"w{i}" for i in range(400)]
+    rows, i = [], 0
+    for _ in range(25):
+        base = [rng.choice(vocabulary_) for _ in range(rng.randint(3, 120))]
+        for _ in range(rng.randint(1, 7)):
+            text = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary_)
+            joined = " ".join(text)
+            rows.append((i, joined.upper() if rng.random() < 0.2 else joined.replace(" ", "  \n", 1)))
+            i += 1
+            if rng.random() < 0.4:
+                base = text  # chains of copies of copies
+    rows += [(900, None), (901, ""), (902, " \t "), (903, "one two"), (904, "ONE  two"), (905, "one two three"), (906, "long " + " ".join(f"v{k}" for k in range(30_000)))]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark, table(spark, rows)).collect()}
+    component, size = brute_components(rows)
+    assert {i: r["component_id"] for i, r in got.items()} == component
+    assert {i: r["n_shingles"] for i, r in got.items()} == size
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
+    kept = {r["doc_id"] for r in minhash.keep_first(spark, table(spark, rows)).collect()}
+    assert kept == {i for i in component if component[i] == i}
+
+
+def test_a_star_of_copies_hangs_together(spark):
+    """Copies that are near their original only, and not near each other."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(500, " ".join(base))]
+    for k in range(60):
+        text = list(base)
+        for j in rng.sample(range(300), 9):
+            text[j] = f"c{k}_{j}"
+        rows.append((k, " ".join(text)))
+    got = minhash.near_duplicates(spark, table(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)[0]
+
+
+def test_near_duplicates_hard_rows(spark):
+    rows = hard_rows()
+    got = minhash.near_duplicates(spark, table(spark, rows)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5: 5, 6: 5}
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+    assert minhash.near_duplicates(spark, table(spark, [])).count() == 0
+    kept = minhash.keep_first(spark, table(spark, rows))
+    assert kept.columns == table(spark, rows).columns and 6 not in {r["doc_id"] for r in kept.collect()}
+
+
+def test_densified_sketch_estimates_jaccard():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    b = np.concatenate((a[:30], rng.integers(0, 1 << 63, 10).astype(np.uint64)))
+    s = minhash.sketch([np.sort(a), np.sort(b), np.zeros(0, np.uint64)], 4096)
+    assert abs((s[0] == s[1]).mean() - 30 / 50) < 0.12
+    assert (s[2] == minhash.EMPTY).all() and not (s[:2] == minhash.EMPTY).any()
+
+
+# --- 7: rules ----------------------------------------------------------------------------
+
+
+def brute_features(text):
+    w = words_of(text)
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    marked = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if words_of(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(marked)
+
+
+def test_counts_equal_brute_force(spark):
+    rng = random.Random(2)
+    made = ["".join(rng.choice("ab #|\n\té ") for _ in range(rng.randint(0, 200))) for _ in range(150)] + ["a\nb\na\n\n\na", "x y z x y z", "\n", "aaa aaa aaa aaa"]
+    rows = [(k, t) for k, t in enumerate(made)] + hard_rows()
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_rules.apply_rules(spark, table(spark, rows), labels).collect()
+    expected = Counter((i, *brute_features(t)) for i, t, *_ in rows)
+    assert Counter(tuple(r[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in got) == expected
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"])  # no labels: no rule is certified
+    assert quality_rules.apply_rules(spark, table(spark, []), labels).count() == 0
+
+
+def test_bound_is_the_exact_binomial_one():
+    for n, k, rate, delta in ((100, 0, 0.03, 0.05), (100, 0, 0.029, 0.05), (500, 2, 0.02, 0.01), (500, 2, 0.016, 0.01), (50, 50, 0.5, 0.05), (0, 0, 0.5, 0.05)):
+        exact = n and k < n and sum(math.comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k + 1)) <= delta
+        assert quality_rules.upper_bound_ok(k, n, rate, delta) == bool(exact)
+
+
+def test_certified_cutoff_limits_false_rejection():
+    rng = np.random.default_rng(4)
+    good = np.bincount(np.minimum(rng.poisson(5, 5000), 1000), minlength=1001)
+    bad = np.bincount(np.minimum(rng.poisson(40, 800), 1000), minlength=1001)
+    cut = quality_rules.certify(good, bad, ">", 0.004, 0.01)
+    assert cut is not None and good[cut + 1 :].sum() / 5000 <= 0.004 and bad[cut + 1 :].sum() / 800 > 0.99
+    assert quality_rules.certify(good[::-1], bad[::-1], "<", 0.004, 0.01) == 1000 - cut
+    assert quality_rules.certify(good // 100, bad, ">", 0.004, 0.01) is None  # too few to prove it
+
+
+def test_rules_reject_junk_and_filter_agrees(spark):
+    rng = random.Random(6)
+    clean = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 999)) for _ in range(80))
+    rows = [(k, clean() if k % 5 else " ".join(x + "###" for x in clean().split()), None if k % 7 == 0 else "en") for k in range(4000)]
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(4000)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(spark, docs, labels, alpha=0.2).collect()}
+    assert all(got[k]["kept"] for k in range(4000) if k % 5)
+    assert not any(got[k]["kept"] for k in range(0, 4000, 5) if k % 7)  # the small stratum may prove too little
+    kept = {r["doc_id"] for r in quality_rules.keep_passing(spark, docs, labels, alpha=0.2).collect()}
+    assert kept == {k for k, r in got.items() if r["kept"]}
+
+
+# --- 8: classifier ---------------------------------------------------------------------------
+
+
+def labelled(n=600):
+    rng = random.Random(9)
+    rows = []
+    for k in range(n):
+        w = ["".join(rng.choice("aeiouklmnt") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(10, 80))]
+        kind = k % 4
+        rows.append((k, " ".join(w) if kind else " ".join([x.upper() + "!!" for x in w] if k % 8 else [x for y in w[:9] for x in [y] * 9])))
+    return rows, {k: int(k % 4 > 0) for k in range(n)}
+
+
+def test_classifier_on_held_out_rows(spark):
+    rows, quality = labelled()
+    labels = spark.createDataFrame([(k, q, 0) for k, q in quality.items()] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows + hard_rows()[:4])
+    got = nbsvm.quality_scores(spark, docs, labels).collect()
+    assert len(got) == len(rows) + 4 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    held = [r for r in got[: len(rows)] if r["held_out"]]
+    assert sum(r["predicted"] == quality[r["doc_id"]] for r in held) / len(held) > 0.97
+    kept = nbsvm.keep_good(spark, docs, labels)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["predicted"])
+
+
+def test_held_out_labels_are_not_learnt(spark):
+    rows, quality = labelled(300)
+    docs = table(spark, rows)
+    flip = lambda k, q: 1 - q if zlib.crc32(str(k).encode()) % 4 == 2 else q
+    a, b = ({r["doc_id"]: r["score"] for r in nbsvm.quality_scores(spark, docs, spark.createDataFrame([(k, f(k, q), 0) for k, q in quality.items()], "doc_id long, quality int, toxic int")).collect()} for f in (lambda k, q: q, flip))
+    assert a == b
+
+
+def test_classifier_without_usable_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in nbsvm.quality_scores(spark, table(spark, [(1, "a"), (2, None)]), none).collect()} == {0.5}
+    assert nbsvm.quality_scores(spark, table(spark, []), none).count() == 0
+    one = spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    assert all(r["predicted"] == 1 for r in nbsvm.quality_scores(spark, table(spark, [(k, "a b") for k in range(8)]), one).collect())
+
+
+def test_dual_descent_separates():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 2)) + np.where(np.arange(200) % 2, 2, -2)[:, None]
+    y = np.where(np.arange(200) % 2, 1.0, -1.0)
+    rows = [np.array([0, 1], np.int32)] * 200
+    w, b = nbsvm.dual_descent(rows, list(x), y, np.ones(200))
+    assert ((x @ w[:2] + b) * y > 0).mean() > 0.97
+
+
+# --- 9: shards ----------------------------------------------------------------------------------
+
+
+def test_shards_follow_the_ring_with_bounded_loads(spark):
+    rows = [(k * 7919, f"text {k}" if k % 9 else None) for k in range(3007)] + [(5, "é"), (5, "é"), (None, "")]
+    got = sharding.ring_shards(spark, table(spark, rows), 40).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+        assert r["law"] == "rows" and r["grown_shard"] is None
+    assert sorted(by) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(s) for s in by.values()]
+    assert max(sizes) - min(sizes) <= 1
+    assert sharding.ring_shards(spark, table(spark, []), 40).count() == 0
+
+
+def test_overflow_moves_only_what_does_not_fit():
+    points, owner = sharding.ring(8, 16)
+    rng = np.random.default_rng(2)
+    arcs = Counter(sharding.arc_of(rng.integers(-(1 << 63), (1 << 63) - 1, 5000), points).tolist())
+    room = sharding.capacities(5000, 8)
+    runs = sharding.overflow(arcs, owner, room)
+    assert sum(r[2] for r in runs) == 5000
+    want = Counter()
+    for a, c in arcs.items():
+        want[int(owner[a])] += c
+    home = Counter()
+    for a, first, count, shard, _ in runs:
+        if shard == owner[a]:
+            home[shard] += count
+    assert all(home[s] == min(want[s], room[s]) for s in range(8))  # each shard keeps as many of its own as it can hold
+    for a in arcs:  # ranks of an arc are covered without gaps
+        own = sorted((r[1], r[2]) for r in runs if r[0] == a)
+        assert [r for r, _ in own] == [sum(c for _, c in own[:k]) for k in range(len(own))]
+
+
+# --- 10: secrets ----------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def brute_base(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 32]
+    return sorted(out)
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(4)
+    bits = ["password", "Secret", "TOKEN", "api_key", "apikey", "paſſword", "to\u212aen", ":", "=", " ", "  ", "\n", "'", '"', "abcdefgh1", "short", "AKIA" + "A1" * 8, "AKIA1", "0123456789abcdef" * 2, "é", "🙂", "x=" * 3]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["token: secret: abcdefgh1", "password=secret=abcdefgh12", "AKIAAKIA" + "Z" * 9]
+    rows = list(enumerate(texts)) + hard_rows()
+    got = secret_scan.find_secrets(table(spark, rows)).collect()
+    expected = Counter()
+    for i, t, *_ in rows:
+        base = brute_base(t or "")
+        expected[i, *[sum(s[1] == k for s in base) for k in range(3)], hashlib.sha256(secret_scan.listed(base).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == expected
+    for r in got:
+        own = [s for s in r["spans"].split(",") if s and not s.startswith("entropy")]
+        assert hashlib.sha256(",".join(own).encode()).hexdigest() == r["base_sha256"]
+    assert secret_scan.find_secrets(table(spark, [])).count() == 0
+
+
+def test_entropy_windows_equal_recounting():
+    rng = random.Random(7)
+    for _ in range(200):
+        s = "".join(rng.choice("abcdefABCDEF0123456789+/"[: rng.choice([4, 12, 22, 24])]) for _ in range(rng.randint(20, 90)))
+        limit = secret_scan.THRESHOLDS[secret_scan.character_class(s)]
+        marked = set()
+        for k in range(len(s) - 19):
+            part = Counter(s[k : k + 20])
+            if -sum(c / 20 * math.log2(c / 20) for c in part.values()) >= limit - 1e-9:
+                marked |= set(range(k, k + 20))
+        got = {j for a, b in secret_scan.entropy_spans(s) for j in range(a, b)}
+        assert got == marked
+
+
+def test_entropy_spans_and_allow_list():
+    allow = secret_scan._pattern(secret_scan.ALLOW)
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzEXAMPLEK9q"
+    assert secret_scan.scan(f"see {key} here", allow) == [(4, 3, 4 + len(key))]
+    for fine in ("123e4567-e89b-12d3-a456-426614174000", "a-long-word-with-hyphens-inside-it", "aaaaaaaaaaaaaaaaaaaaaaaa1", "some/path/of/names/in/prose/42", "12345678901234567890123"):
+        assert secret_scan.scan(f"see {fine} here", allow) == []
+    text = f"token={key} and {key}"
+    assert secret_scan.redact(text, secret_scan.scan(text, allow)) == "[assign] and [entropy]"
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    docs = table(spark, [(1, "password=abcdefgh99 é AKIA" + "B2" * 8), (2, None), (3, ""), (1, "fine")])
+    got = secret_scan.redact_secrets(docs)
+    assert got.columns == docs.columns
+    assert Counter(r["text"] for r in got.collect()) == Counter(["[assign] é [access]", None, "", "fine"])
