@@ -8,30 +8,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: parser -> (languages, extensions), in order of registration; later ones win an extension.
-PARSERS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "python": (("python", "py"), (".py", ".pyx", ".pyi", ".pyw")),
-    "javascript": (("javascript", "js", "typescript", "ts"), (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")),
-    "html": (("html",), (".html", ".htm")),
-    "css": (("css",), (".css", ".scss", ".sass", ".less")),
-    "markdown": (("markdown", "md"), (".md", ".markdown", ".mdown", ".mkd")),
-    "json": (("json",), (".json", ".jsonl", ".ndjson")),
-    "xml": (("xml",), (".xml", ".xhtml", ".svg", ".sitemap", ".xsd", ".wsdl", ".pom")),
-    "feed": (("rss", "atom", "feed", "syndication"), (".rss", ".atom", ".feed")),
-    "rust": (("rust", "rs"), (".rs",)),
-    "latex": (("latex", "tex"), (".tex", ".latex", ".ltx", ".sty", ".cls", ".bib")),
-    "text": (("text", "plaintext", "unknown"), (".txt", ".log", ".cfg", ".ini", ".conf", ".properties", ".env")),
+_PARSERS = {
+    "python": ("python py", "py pyx pyi pyw"),
+    "javascript": ("javascript js typescript ts", "js jsx ts tsx mjs cjs"),
+    "html": ("html", "html htm"),
+    "css": ("css", "css scss sass less"),
+    "markdown": ("markdown md", "md markdown mdown mkd"),
+    "json": ("json", "json jsonl ndjson"),
+    "xml": ("xml", "xml xhtml svg sitemap xsd wsdl pom"),
+    "feed": ("rss atom feed syndication", "rss atom feed"),
+    "rust": ("rust rs", "rs"),
+    "latex": ("latex tex", "tex latex ltx sty cls bib"),
+    "text": ("text plaintext unknown", "txt log cfg ini conf properties env"),
 }
+PARSERS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {p: (tuple(names.split()), tuple("." + e for e in ends.split())) for p, (names, ends) in _PARSERS.items()}
 EXTENSIONS = {e: p for p, (_, es) in PARSERS.items() for e in es}
 LANGUAGES = {name: p for p, (ls, _) in PARSERS.items() for name in ls}
 CONTENT_TYPES = {"markdown": "markdown", "html": "html", "xml": "xml", "json": "json", "yaml": "yaml", "css": "css"} | dict.fromkeys(
     ("python", "javascript", "typescript", "rust", "go", "java", "cpp", "c"), "code"
 )
-QUERY_GROUPS = (
-    ("architectural", ("architecture", "overview", "structure", "design", "how does", "explain")),
-    ("relationship", ("calls", "uses", "depends", "imports", "references")),
-    ("implementation", ("implementation", "code", "function", "method", "show me", "exact")),
-    ("api", ("api", "interface", "endpoint", "method", "parameter")),
-    ("quality", ("quality", "refactor", "improve", "issue", "problem")),
+QUERY_GROUPS = tuple(
+    (name, tuple(words.split("|")))
+    for name, words in (
+        ("architectural", "architecture|overview|structure|design|how does|explain"),
+        ("relationship", "calls|uses|depends|imports|references"),
+        ("implementation", "implementation|code|function|method|show me|exact"),
+        ("api", "api|interface|endpoint|method|parameter"),
+        ("quality", "quality|refactor|improve|issue|problem"),
+    )
 )
 QUERY_LEVEL = {"architectural": 2, "relationship": 1, "implementation": 0, "api": 1, "quality": 2, "general": 1}
 #: relationship -> (edge type, graph)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.text import NON_WS, word_count
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"[._%+0-9A-Za-z-]+@[.0-9A-Za-z-]+\.[A-Za-z]{2,}"
 URL = r"https?://[^ \t\n\r]+"
-FILE_PATH = r"([A-Za-z0-9_.-]+[/\\])*[A-Za-z0-9_.-]+\.[A-Za-z0-9]+"
-TECHNICAL = ("error", "warning", "debug", "info", "exception", "stack trace")
+FILE_PATH = r"[0-9A-Za-z_.-]\.[0-9A-Za-z]"  # a name with a suffix; folders before it change nothing
+TECHNICAL = "error|warning|debug|info|exception|stack trace"
 
 
 def tag_list(*rules: tuple[Column, str]) -> Column:
@@ -26,7 +26,7 @@ def sentence_words(text: Column) -> Column:
 def text_tags(text: Column) -> Column:
     average = sentence_words(text)
     low = F.lower(text)
-    technical = low.rlike("|".join(TECHNICAL))
+    technical = low.rlike(TECHNICAL)
     return tag_list(
         (F.lit(True), "text_content"),
         (text.rlike(EMAIL), "contains_email"),

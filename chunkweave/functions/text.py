@@ -105,7 +105,7 @@ def chunk_id(path: Column, chunk_type: Column, identifier: Column, start_line: C
     return F.concat_ws(":", file_stem(path), chunk_type, clean_identifier(identifier), start_line.cast("string"))
 
 
-def raptor_id(level: int, identifier: Column, path: Column | None = None) -> Column:
+def level_id(level: int, identifier: Column, path: Column | None = None) -> Column:
     parts = [F.lit(f"L{level}")] + ([file_stem(path)] if path is not None else []) + [identifier]
     return F.concat_ws(":", *parts)
 
@@ -181,7 +181,7 @@ def structure_consistency(text: Column) -> Column:
     n = F.length(clean)
     heading = F.when((n >= 3) & (n <= 80), 1.0).otherwise(0.6)
     low = F.lower(text)
-    hints = reduce(lambda a, b: a | b, [low.contains(k) for k in ("def ", "function", "class ", "import", "return")])
+    hints = low.rlike("def |function|class |import|return")
     code = F.when(text.contains("```") | hints | text.rlike(r"(?m)^    "), 0.9).otherwise(0.5)
     words, ends = word_count(text) > 0, text.rlike(r"[.!?]")
     other = F.when(words & ends, 0.7).when(words, 0.5).otherwise(0.1)

@@ -10,7 +10,9 @@ from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
+from chunkweave.functions.tags import EMAIL, FILE_PATH, TECHNICAL
 from chunkweave.operators.chunkers.base import Chunk, Config, line_at, node_importance
+from chunkweave.operators.segment import KEY_VALUE, LOG_LINE, NUMBERED, SECTION
 
 SEMANTIC = frozenset("article section header footer main nav aside h1 h2 h3 h4 h5 h6 p div ul ol dl table form figure blockquote pre code script style details".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -390,10 +392,10 @@ def latex(text: str, cfg: Config) -> Iterator[Chunk]:
 # --- plain text -----------------------------------------------------------------------
 
 
-_LOG = re.compile(r"^\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}")
-_PAIR = re.compile(r"^([^=:]+)[=:]\s*(.+)$")
-_SECTION = re.compile(r"^[A-Z][A-Z\s]{3,}:?\s*$")
-_NUMBER = re.compile(r"^\d+[.)]\s+.+$")
+_LOG = re.compile(LOG_LINE)
+_PAIR = re.compile(KEY_VALUE)
+_SECTION = re.compile(SECTION)
+_NUMBER = re.compile(NUMBERED)
 
 
 def text_kind(text: str) -> str:
@@ -426,12 +428,12 @@ def text_features(body: str) -> list[str]:
     parts = re.split(r"[.!?]+", body)
     average = len(body.split()) / len(parts)
     rules = (
-        ("contains_email", bool(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", body))),
+        ("contains_email", bool(re.search(EMAIL, body))),
         ("contains_url", bool(re.search(r"https?://\S+", body))),
-        ("contains_filepath", bool(re.search(r"[\w.-]+\.[A-Za-z0-9]+", body))),
+        ("contains_filepath", bool(re.search(FILE_PATH, body))),
         ("complex_text", average > 20),
         ("simple_text", average < 5),
-        ("technical_content", bool(re.search(r"error|warning|debug|info|exception|stack trace", body.lower()))),
+        ("technical_content", bool(re.search(TECHNICAL, body.lower()))),
     )
     return [n for n, ok in rules if ok]
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from chunkweave.functions.text import NON_WS, WS, strip
 
 MIN_CHUNK, TARGET_CHUNK, MAX_CHUNK = 50, 800, 2000
-LOG_LINE = r"^\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}"
-KEY_VALUE = r"^([^=:]+)[=:][ \t]*(.+)$"
-SECTION = r"^[A-Z][A-Z \t]{3,}:?[ \t]*$"
-NUMBERED = r"^\d+[.)][ \t]+.+$"
+LOG_LINE = r"^[0-9]{4}(-[0-9]{2}){2}|[0-9]{2}(/[0-9]{2}/|-[0-9]{2}-)[0-9]{4}"
+KEY_VALUE = r"^[^:=]+[:=]."
+SECTION = r"^[A-Z][ \tA-Z]{3,}(:[ \t]*)?$"
+NUMBERED = r"^[0-9]+[).][ \t]+."
 
 
 def lines_of(content: Column) -> Column:

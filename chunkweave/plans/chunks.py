@@ -190,7 +190,7 @@ def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_module_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("file_path")
-    return files(spark, sf_dir).select("doc_id", T.module_path(p).alias("module_path"), T.file_stem(p).alias("stem"), T.raptor_id(1, T.file_stem(p), p).alias("node_id"), C.layer(F.concat(F.lit("/"), F.element_at(F.array(F.lit("api/"), F.lit("services/"), F.lit("db/"), F.lit("utils/"), F.lit("misc/")), (F.col("doc_id") % 5 + 1).cast("int")), p)).alias("layer"))
+    return files(spark, sf_dir).select("doc_id", T.module_path(p).alias("module_path"), T.file_stem(p).alias("stem"), T.level_id(1, T.file_stem(p), p).alias("node_id"), C.layer(F.concat(F.lit("/"), F.element_at(F.array(F.lit("api/"), F.lit("services/"), F.lit("db/"), F.lit("utils/"), F.lit("misc/")), (F.col("doc_id") % 5 + 1).cast("int")), p)).alias("layer"))
 
 
 def q_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +225,8 @@ _LINES_OF = f"(length(content) - length(replace(content, chr(10), '')) + 1)"
 _HEUR = f"least(1.0, 0.5 + case when {_words()} between 50 and 200 then 0.1 else 0.0 end + case when {_LINES_OF} between 5 and 50 then 0.1 else 0.0 end + case when regexp_matches(content, 'def |class |function |const ') then 0.1 else 0.0 end)"
 _SPLIT_AVG = f"({_words()} / cast(len(regexp_extract_all(content, '[.!?]+')) + 1 as double))"
 _TAGS = f"""[case when true then 'text_content' end, case when regexp_matches(content, '{G.EMAIL}') then 'contains_email' end, case when regexp_matches(content, 'https?://[^ \\t\\n\\r]+') then 'contains_url' end,
-  case when regexp_matches(content, '([A-Za-z0-9_.-]+[/\\\\])*[A-Za-z0-9_.-]+\\.[A-Za-z0-9]+') then 'contains_filepath' end, case when {_SPLIT_AVG} > 20 then 'complex_text' end, case when {_SPLIT_AVG} < 5 then 'simple_text' end,
-  case when regexp_matches(lower(content), '{"|".join(G.TECHNICAL)}') then 'technical_content' end]"""
+  case when regexp_matches(content, '{G.FILE_PATH}') then 'contains_filepath' end, case when {_SPLIT_AVG} > 20 then 'complex_text' end, case when {_SPLIT_AVG} < 5 then 'simple_text' end,
+  case when regexp_matches(lower(content), '{G.TECHNICAL}') then 'technical_content' end]"""
 _CLEAN = "regexp_replace(content, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')"
 
 
@@ -255,9 +255,9 @@ step as (
   from step s join w on w.file_path = s.file_path and w.i = s.i + 1)
 select file_path, cast(a as integer) as start_line, cast(i as integer) as end_line, cast(length(t) as integer) as n_chars, md5(t) as content_hash
 from (select s.*, array_to_string(l.ls[s.a : s.i], chr(10)) as t from step s join l using (file_path) where full_now or (s.i = s.total and s.size >= 50))""",
-    "chunk_sections": """with t as (select 'talk_' || conv_id || '_' || turn as file_path, string_split(upper(role) || ' TURN:' || chr(10) || coalesce(text, '') || chr(10) || '1. end of turn', chr(10)) as ls from conversations),
+    "chunk_sections": f"""with t as (select 'talk_' || conv_id || '_' || turn as file_path, string_split(upper(role) || ' TURN:' || chr(10) || coalesce(text, '') || chr(10) || '1. end of turn', chr(10)) as ls from conversations),
 e as (select file_path, unnest(ls) as l, generate_subscripts(ls, 1) as n from t),
-g as (select *, sum(case when n = 1 or regexp_matches(l, '^[A-Z][A-Z \\t]{3,}:?[ \\t]*$') or regexp_matches(l, '^\\d+[.)][ \\t]+.+$') then 1 else 0 end) over (partition by file_path order by n) as s from e)
+g as (select *, sum(case when n = 1 or regexp_matches(l, '{S.SECTION}') or regexp_matches(l, '{S.NUMBERED}') then 1 else 0 end) over (partition by file_path order by n) as s from e)
 select file_path, cast(min(n) as integer) as start_line, cast(max(n) as integer) as end_line, md5(string_agg(l, chr(10) order by n)) as content_hash from g group by file_path, s""",
     "chunk_config": """with t as (select 'part_' || p_partkey || '.ini' as file_path, '; part' || chr(10) || 'name=' || p_name || chr(10) || 'brand=' || p_brand || chr(10) || 'type=' || p_type as first,
   '# size of the part and how it is measured' || chr(10) || 'size=' || p_size || chr(10) || 'unit=centimetre by default' as second from part),
@@ -265,8 +265,8 @@ u as (select file_path, 1 as start_line, 4 as end_line, first as content from t
 select file_path, cast(case when end_line = 8 then 6 else 1 end as integer) as start_line, cast(end_line as integer) as end_line, content from u where length(content) >= 50""",
     "text_type": f"""with {FILES_SQL}, a as (select file_path, content from files union all select 'log_' || event_id, strftime(ts, '%Y-%m-%d') || ' ' || event_type from events),
 l as (select file_path, string_split(content, chr(10)) as ls from a),
-s as (select file_path, len(list_filter(ls, lambda x: regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}|\\d{{2}}-\\d{{2}}-\\d{{4}}'))) / len(ls) as log, len(list_filter(ls, lambda x: regexp_matches(x, '^([^=:]+)[=:][ \\t]*(.+)$'))) / len(ls) as cfg,
-  (len(list_filter(ls, lambda x: regexp_matches(x, '^[A-Z][A-Z \\t]{{3,}}:?[ \\t]*$'))) + len(list_filter(ls, lambda x: regexp_matches(x, '^\\d+[.)][ \\t]+.+$')))) / len(ls) as head from l)
+s as (select file_path, len(list_filter(ls, lambda x: regexp_matches(x, '{S.LOG_LINE}'))) / len(ls) as log, len(list_filter(ls, lambda x: regexp_matches(x, '{S.KEY_VALUE}'))) / len(ls) as cfg,
+  (len(list_filter(ls, lambda x: regexp_matches(x, '{S.SECTION}'))) + len(list_filter(ls, lambda x: regexp_matches(x, '{S.NUMBERED}')))) / len(ls) as head from l)
 select file_path, case when log > 0.3 then 'log' when cfg > 0.4 then 'config' when head > 0.1 then 'structured' else 'plain' end as text_type from s""",
     "chunk_hashes": f"""with {FILES_SQL}, f as (select *, sha256('["' || least(language, module) || '", "' || greatest(language, module) || '"]') as dep from files)
 select doc_id, md5(content) as content_hash, sha256(content) as content_fingerprint, dep as dependency_fingerprint, sha256(sha256(content) || ':' || dep || ':text_block') as combined_fingerprint, md5(content || chr(10) || module) as node_hash from f""",

@@ -151,7 +151,7 @@ def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "raptor_files": q_files, "raptor_modules": q_modules, "raptor_repo": q_repo, "raptor_stats": q_stats, "raptor_balance": q_balance, "raptor_path": q_path, "raptor_subtree": q_subtree,
+    "hierarchy_files": q_files, "hierarchy_modules": q_modules, "hierarchy_repo": q_repo, "hierarchy_stats": q_stats, "hierarchy_balance": q_balance, "hierarchy_path": q_path, "hierarchy_subtree": q_subtree,
     "search_substring": q_substring, "search_level": q_level, "search_drilldown": q_drill, "search_budget": q_budget, "search_general": q_general, "search_relationship": q_relationship,
     "snapshot_diff": q_diff, "change_propagation": q_propagation, "snapshot_versions": q_versions, "validate_chunks": q_validate,
 }
@@ -184,13 +184,13 @@ _AFTER = f"""{FILES_SQL}, after as (select file_path, module, case when doc_id %
 diff as (select coalesce(b.file_path, a.file_path) as file_path, case when b.file_path is null then 'added' when a.file_path is null then 'removed' when a.content <> b.content then 'modified' end as change from files b full join after a on a.file_path = b.file_path)"""
 
 ORACLE_SQL = {
-    "raptor_files": f"with {_TREE} select node_id, parent_id, title, language, members, md5(content) as content_hash, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l1",
-    "raptor_modules": f"with {_TREE} select node_id, parent_id, title, language, members, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l2",
-    "raptor_repo": f"with {_TREE} select node_id, title, language, members, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l3s",
-    "raptor_stats": f"with {_TREE} select level, nodes, round(quality, 6) as quality, content_size, summary_size from stats",
-    "raptor_balance": f"with {_TREE} select a.level, round(a.nodes / cast(b.nodes as double), 6) as ratio, a.nodes / cast(b.nodes as double) between 5 and 20 as balanced from stats a join stats b on b.level = a.level + 1",
-    "raptor_path": f"with {_TREE} select node_id as start, 0 as step, node_id from l0 union all select node_id, 1, parent_id from l0 union all select l0.node_id, 2, l1.parent_id from l0 join l1 on l1.node_id = l0.parent_id union all select node_id, 3, 'L3:overview' from l0",
-    "raptor_subtree": f"with {_TREE} select node_id as root, 0 as distance, 1 as n from l2 union all select parent_id, 1, count(*) from l1 group by 1 union all select l1.parent_id, 2, count(*) from l0 join l1 on l1.node_id = l0.parent_id group by 1",
+    "hierarchy_files": f"with {_TREE} select node_id, parent_id, title, language, members, md5(content) as content_hash, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l1",
+    "hierarchy_modules": f"with {_TREE} select node_id, parent_id, title, language, members, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l2",
+    "hierarchy_repo": f"with {_TREE} select node_id, title, language, members, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l3s",
+    "hierarchy_stats": f"with {_TREE} select level, nodes, round(quality, 6) as quality, content_size, summary_size from stats",
+    "hierarchy_balance": f"with {_TREE} select a.level, round(a.nodes / cast(b.nodes as double), 6) as ratio, a.nodes / cast(b.nodes as double) between 5 and 20 as balanced from stats a join stats b on b.level = a.level + 1",
+    "hierarchy_path": f"with {_TREE} select node_id as start, 0 as step, node_id from l0 union all select node_id, 1, parent_id from l0 union all select l0.node_id, 2, l1.parent_id from l0 join l1 on l1.node_id = l0.parent_id union all select node_id, 3, 'L3:overview' from l0",
+    "hierarchy_subtree": f"with {_TREE} select node_id as root, 0 as distance, 1 as n from l2 union all select parent_id, 1, count(*) from l1 group by 1 union all select l1.parent_id, 2, count(*) from l0 join l1 on l1.node_id = l0.parent_id group by 1",
     "search_substring": f"with {CHUNKS_SQL}, s as (select chunk_id, ((length(content) - length(replace(lower(content), 'the and', ''))) // 7) / cast(greatest({_words()}, 1) as double) as score from chunks where contains(lower(content), 'the and')) select chunk_id, round(score, 6) as score from s order by s.score desc, chunk_id limit 10",
     "search_level": f"with {_TREE}, s as (select node_id, content, {_score(_TEXT1, 'technical text of the error')} as score from l1) select node_id, round(score, 6) as score, md5({_HEAD.format(n=500)}) as content_hash from s where score > 0 order by s.score desc, node_id limit 10",
     "search_drilldown": f"""with {_TREE}, t as (select 2 as level, node_id, {_score("concat_ws(chr(10), title, summary, array_to_string(keywords, ', '))", 'module src3 structure')} as score from l2), u as (select * from t where score > 0 order by score desc, node_id limit 40), b as (select node_id from u order by score desc, node_id limit 3),
