@@ -24,9 +24,7 @@ _PARSERS = {
 PARSERS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {p: (tuple(names.split()), tuple("." + e for e in ends.split())) for p, (names, ends) in _PARSERS.items()}
 EXTENSIONS = {e: p for p, (_, es) in PARSERS.items() for e in es}
 LANGUAGES = {name: p for p, (ls, _) in PARSERS.items() for name in ls}
-CONTENT_TYPES = {"markdown": "markdown", "html": "html", "xml": "xml", "json": "json", "yaml": "yaml", "css": "css"} | dict.fromkeys(
-    ("python", "javascript", "typescript", "rust", "go", "java", "cpp", "c"), "code"
-)
+CONTENT_TYPES = {k: k for k in "markdown html xml json yaml css".split()} | dict.fromkeys("python javascript typescript rust go java cpp c".split(), "code")
 QUERY_GROUPS = tuple(
     (name, tuple(words.split("|")))
     for name, words in (

@@ -45,7 +45,7 @@ def markdown_tags(text: Column) -> Column:
         (text.rlike(r"\[[^\]]+\]\([^)]+\)"), "links"),
         (text.rlike(r"!\[[^\]]*\]\([^)]+\)"), "images"),
         (text.contains("```"), "code"),
-        (text.rlike(r"\*\*[^*]+\*\*|__[^_]+__"), "emphasis"),
+        (text.rlike(r"\*{2}[^*]+\*{2}|_{2}[^_]+_{2}"), "emphasis"),
         (text.rlike(r"(?m)^[ \t]*[-*] \[[ xX]\]"), "todo"),
         (text.rlike(r"(?m)^> "), "callout"),
         (low.rlike("install|setup"), "installation"),
@@ -97,9 +97,9 @@ def css_tags(text: Column) -> Column:
 
 def latex_tags(text: Column) -> Column:
     return tag_list(
-        (text.rlike(r"\\begin\{(equation|align|gather|multline)\*?\}|\$\$"), "math"),
+        (text.rlike(r"\\begin\{(align|equation|gather|multline)\*?\}|\$\$"), "math"),
         (text.rlike(r"\\begin\{(figure|table)\*?\}"), "float"),
-        (text.rlike(r"\\begin\{(theorem|lemma|proof|definition|corollary)\}"), "theorem"),
+        (text.rlike(r"\\begin\{(corollary|definition|lemma|proof|theorem)\}"), "theorem"),
         (text.rlike(r"\\begin\{(lstlisting|verbatim|minted)\}"), "code"),
         (text.rlike(r"\\cite[tp]?\{"), "citation"),
         (text.rlike(r"\\(ref|eqref|autoref)\{"), "reference"),

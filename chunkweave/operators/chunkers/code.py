@@ -169,6 +169,9 @@ def statement_end(text: str, i: int, marks: str = "\"'`") -> int:
     return len(text)
 
 
+_NO_CALL = frozenset("fn for function if match return switch while".split())
+
+
 def _scan(text: str, heads: list[tuple[str, str, float]], marks: str, tags) -> Iterator[Chunk]:
     """Chunks that begin with one of the heads (pattern with a group `name`, kind, score) outside other chunks."""
     patterns = [(re.compile(p), k, s) for p, k, s in heads]
@@ -189,7 +192,7 @@ def _scan(text: str, heads: list[tuple[str, str, float]], marks: str, tags) -> I
                 start = line_at(text, i)
                 c = Chunk(kind, body, start, start + body.count("\n"), m.groupdict().get("name"), node_importance(score, body, body.count("\n") + 1))
                 c.tags = [kind, *tags(body)]
-                c.deps = list(dict.fromkeys(f"calls:{x}" for x in re.findall(r"\b([A-Za-z_]\w*)\s*\(", body) if x not in ("if", "for", "while", "switch", "function", "return", "match", "fn")))
+                c.deps = list(dict.fromkeys(f"calls:{x}" for x in re.findall(r"\b([A-Za-z_]\w*)\s*\(", body) if x not in _NO_CALL))
                 size_tags(c)
                 yield c
                 i = max(end, i + 1)

@@ -15,6 +15,7 @@ from chunkweave.operators.chunkers.base import Chunk, Config, line_at, node_impo
 from chunkweave.operators.segment import KEY_VALUE, LOG_LINE, NUMBERED, SECTION
 
 SEMANTIC = frozenset("article section header footer main nav aside h1 h2 h3 h4 h5 h6 p div ul ol dl table form figure blockquote pre code script style details".split())
+_MARK = re.compile(r"<[^<>]+>")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -111,7 +112,7 @@ def _text(node: ET.Element | None) -> str:
 
 
 def strip_html(text: str, cap: int = 2000) -> str:
-    flat = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", text)).strip()
+    flat = " ".join(_MARK.sub(" ", text).split())
     return flat[:cap] + "..." if len(flat) > cap else flat
 
 
@@ -237,7 +238,7 @@ def xml(text: str, cfg: Config) -> Iterator[Chunk]:
         body = "\n".join(re.sub(r' xmlns(:\w+)?="[^"]*"', "", s[1]) for s in spots)
         name = _local(nodes[0].tag)
         c = Chunk("xml_element", body, spots[0][0], spots[0][0] + body.count("\n"), name, node_importance(0.7, body, sum(len(x) for x in nodes)))
-        words = len(re.sub(r"<[^>]+>", "", body).strip())
+        words = len(_MARK.sub("", body).strip())
         c.tags = ["xml", name] + (["has_attributes"] if any(x.attrib for n in nodes for x in n.iter()) else []) + (["text_heavy"] if words > 0.7 * len(body) else []) + (["batch"] if len(nodes) > 1 else [])
         c.deps = list(dict.fromkeys(v for n in nodes for x in n.iter() for k, v in x.attrib.items() if _local(k) in ("href", "src", "ref")))
         return c
@@ -322,7 +323,7 @@ def markdown(text: str, cfg: Config) -> Iterator[Chunk]:
 
 
 def _markdown_tags(c: Chunk) -> None:
-    rules = (("links", r"\[[^\]]+\]\([^)]+\)"), ("images", r"!\[[^\]]*\]\([^)]+\)"), ("code", r"```|`[^`]+`"), ("emphasis", r"\*\*[^*]+\*\*"), ("todo", r"[-*] \[[ xX]\]"))
+    rules = (("links", r"\[[^\]]+\]\([^)]+\)"), ("images", r"!\[[^\]]*\]\([^)]+\)"), ("code", r"```|`[^`]+`"), ("emphasis", r"\*{2}[^*]+\*{2}"), ("todo", r"[-*] \[[ xX]\]"))
     c.tags += [n for n, p in rules if re.search(p, c.content) and n not in c.tags]
     c.deps = list(dict.fromkeys(re.findall(r"\]\(([^)\s]+)", c.content)))
 

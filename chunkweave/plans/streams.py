@@ -37,7 +37,7 @@ def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"stream_tumbling": q_tumbling, "stream_sliding": q_sliding, "stream_session": q_sessions, "stream_dedup": q_dedup}
 
-_FMT = "'%Y-%m-%d %H:%M:%S'"
+_FMT = "'%Y-%m-%d ' || '%H:%M:%S'"
 ORACLE_SQL = {
     "stream_tumbling": f"select strftime(date_trunc('hour', ts), {_FMT}) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "stream_sliding": f"with h as (select date_trunc('hour', ts) as h from events union all select date_trunc('hour', ts) - interval 1 hour from events) select strftime(h, {_FMT}) as start, count(*) as n from h group by 1",
