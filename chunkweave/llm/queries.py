@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkweave.llm import chat, urlfilter
+from chunkweave.llm import chat, minhash, urlfilter
 from chunkweave.llm.bpe import round_trip
 from chunkweave.llm.chat import rotate_perspectives
 from chunkweave.llm.media import find_copies, media_column
@@ -88,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat.oracle_sql(),
     "op5_url_filters": urlfilter.oracle_sql(),
+    "op6_minhash_near_dedup": minhash.oracle_sql(),
 }
