@@ -27,7 +27,7 @@ from chunkweave.session import small_batches
 U64 = np.uint64
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 SHAPE_GRAMS = 4
 CUTOFF = 0.7
 _CLASS = np.full(256, 4, np.uint64)  # 4: letters beyond ASCII; the rest by kind
@@ -102,25 +102,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(body, offsets) + self.shift, -35, 35)))
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear hinge-loss weights and bias by dual coordinate descent.
 
-    Each step takes one example i and moves its multiplier, kept in [0, cost i],
-    to where the projected gradient of the dual vanishes.
+    Example i has the values ratio[rows[i]], scaled to length one (they are
+    made when needed, never kept for all examples).  Each step takes one example
+    and moves its multiplier, kept in [0, cost i], to where the projected
+    gradient of the dual vanishes.
     """
-    w, bias = np.zeros(BUCKETS), 0.0
+    w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(y))
-    square = np.array([float(v @ v) + 1 for v in values])  # 1: the bias as a constant feature
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = _unit(ratio[r])
             slack = y[i] * (float(w[r] @ v) + bias) - 1
             projected = min(slack, 0) if alpha[i] == 0 else max(slack, 0) if alpha[i] == cost[i] else slack
             if projected:
                 worst = max(worst, abs(projected))
-                new = min(max(alpha[i] - slack / square[i], 0), cost[i])
+                new = min(max(alpha[i] - slack / 2, 0), cost[i])  # 2: a vector of length one, and the bias as a constant feature
                 step = (new - alpha[i]) * y[i]
                 alpha[i] = new
                 w[r] += step * v
@@ -160,17 +162,21 @@ def fit(texts: list[str], labels: list[int], cost: float = 1.0, smooth: float =
         row, bucket = indicators(body, offsets)
         cuts = np.searchsorted(row, np.arange(len(offsets)))
         rows += [bucket[cuts[k] : cuts[k + 1]].astype(np.int32) for k in range(len(offsets) - 1)]
+    del texts
+
     def count(idx: np.ndarray, sign: float) -> np.ndarray:
-        picked = [rows[i] for i in idx if y[i] == sign]
-        return np.bincount(np.concatenate(picked), minlength=BUCKETS) if picked else np.zeros(BUCKETS)
+        out = np.zeros(BUCKETS)
+        for i in idx:
+            if y[i] == sign:
+                out[rows[i]] += 1  # the buckets of an example differ
+        return out
 
     def train(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         p, q = count(idx, 1.0) + smooth, count(idx, -1.0) + smooth
         n1, n0 = max((y[idx] > 0).sum(), 1), max((y[idx] < 0).sum(), 1)
         r = np.log((p / (n1 + 2 * smooth)) / (q / (n0 + 2 * smooth)))
-        vals = [_unit(r[rows[i]]) for i in idx]
         each = np.where(y[idx] > 0, cost * len(idx) / (2 * n1), cost * len(idx) / (2 * n0))
-        w, bias = dual_descent([rows[i] for i in idx], vals, y[idx], each)
+        w, bias = dual_descent([rows[i] for i in idx], r, y[idx], each)
         return w, r, bias
 
     # the map to probabilities is fitted on margins of rows that a model hasn't seen

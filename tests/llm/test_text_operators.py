@@ -372,11 +372,12 @@ def test_classifier_without_usable_labels(spark):
 
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 2)) + np.where(np.arange(200) % 2, 2, -2)[:, None]
     y = np.where(np.arange(200) % 2, 1.0, -1.0)
-    rows = [np.array([0, 1], np.int32)] * 200
-    w, b = nbsvm.dual_descent(rows, list(x), y, np.ones(200))
-    assert ((x @ w[:2] + b) * y > 0).mean() > 0.97
+    rows = [np.unique(np.concatenate((rng.integers(0, 20, 4), rng.integers(20, 30, 4) + (10 if s > 0 else 0)))) for s in y]
+    ratio = np.ones(40)
+    w, b = nbsvm.dual_descent(rows, ratio, y, np.ones(200))
+    margin = np.array([w[r] @ nbsvm._unit(ratio[r]) + b for r in rows])
+    assert (margin * y > 0.9).all()
 
 
 # --- 9: shards ----------------------------------------------------------------------------------
