@@ -94,3 +94,52 @@ def has_words(query: str) -> bool:
     import re
 
     return bool(re.search(NON_WS, query))
+
+
+def kind_of(query: str) -> str:
+    """The class of one question, on the driver."""
+    from chunkweave.functions.classify import QUERY_GROUPS
+
+    low = query.lower()
+    return next((name for name, words in QUERY_GROUPS if any(w in low for w in words)), "general")
+
+
+def general_search(levels: dict[int, DataFrame], query: str, limit: int, budget: int) -> DataFrame:
+    """Files, then modules while the budget is over 500, then chunks while it is over 300: node_id, tokens."""
+    out = None
+    for level, most, least in ((1, max(limit // 2, 1), 0), (2, 3, 500), (0, 5, 300)):
+        if budget <= least:
+            continue
+        took = within_budget(level_search(levels[level], query, most), budget).cache()  # a top-k result
+        budget -= took.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        out = took if out is None else out.union(took)
+    return out if out is not None else levels[1].select("node_id", F.lit(0).alias("tokens")).limit(0)
+
+
+def implementation_search(levels: dict[int, DataFrame], query: str, limit: int, budget: int, dedupe: bool = True) -> DataFrame:
+    """Files by drill-down, and the three best chunks that fit the budget; without `dedupe` once per file hit, up to three times."""
+    files = drill_down(levels[1], levels[0], query, max(limit // 2, 1)).select("node_id", "score")
+    best = level_search(levels[0], query, 3)
+    fits = best.join(within_budget(best, budget).select("node_id"), "node_id", "left_semi").select("node_id", "score")
+    hits = 1 if dedupe else min(3, files.count())
+    out = files
+    for _ in range(hits):
+        out = out.union(fits)
+    out = out.distinct() if dedupe else out
+    return out.orderBy(F.desc("score"), "node_id").limit(limit)
+
+
+def intelligent_search(levels: dict[int, DataFrame], chunks: DataFrame, links: DataFrame, query: str, limit: int = 10, budget: int = 8000) -> tuple[str, DataFrame]:
+    """The class of a question and its results, by the search that class calls for.
+
+    levels: level -> nodes with content and summary (3 may be absent).
+    """
+    kind = kind_of(query)
+    if kind == "relationship":
+        return kind, relationship_search(chunks, links, query, limit)
+    if kind == "architectural":
+        found = drill_down(levels[2], levels[1], query, limit)
+        return kind, level_search(levels[3], query, limit) if 3 in levels and found.isEmpty() else found
+    if kind == "implementation":
+        return kind, implementation_search(levels, query, limit, budget)
+    return kind, general_search(levels, query, limit, budget)

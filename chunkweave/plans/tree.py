@@ -83,15 +83,7 @@ def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, then modules while the budget is over 500, then chunks while it is over 300."""
-    l0, l1, l2 = _levels(spark, sf_dir)
-    query, budget, out = "text content of modules", 900, None
-    for nodes, limit, least in ((l1, 5, 0), (l2, 3, 500), (l0, 5, 300)):
-        if budget <= least:
-            continue
-        took = L.within_budget(L.level_search(nodes, query, limit), budget).cache()
-        budget -= took.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-        out = took if out is None else out.union(took)
-    return out
+    return L.general_search(dict(enumerate(_levels(spark, sf_dir))), "text content of modules", 10, 900)
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:

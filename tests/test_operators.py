@@ -269,6 +269,23 @@ def test_search(spark):
     assert [r["id"] for r in L.hybrid_rank(h, 2).collect()] == [2, 1]
 
 
+def test_dispatch(spark):
+    c = chunks(spark, ROWS)
+    l0 = H.leaves(c).withColumn("summary", F.lit(None).cast("string"))
+    l1 = H.files_level(l0.drop("summary"))
+    levels = {0: l0, 1: l1, 2: H.modules_level(l1).withColumn("content", F.lit(""))}
+    links = c.select("chunk_id", F.lit("b:0").alias("near"))
+    ask = lambda q, **k: L.intelligent_search(levels, c, links, q, **k)
+    kind, got = ask("overview of m2")
+    assert kind == "architectural" and "L2:m2" in {r["node_id"] for r in got.collect()}
+    kind, got = ask("what uses part of c")
+    assert kind == "relationship" and {r["node_id"] for r in got.collect()} <= {"b:0"}
+    kind, got = ask("show me the only part")
+    assert kind == "implementation" and "L0:b:0" in {r["node_id"] for r in got.collect()}
+    kind, got = ask("only part of b", budget=4)
+    assert kind == "general" and sum(r["tokens"] for r in got.collect()) <= 4
+
+
 def test_incremental(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", None)], "k string, fingerprint string")
     b = spark.createDataFrame([("x", "2"), ("z", None), ("w", "1")], "k string, fingerprint string")
