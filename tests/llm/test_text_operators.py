@@ -252,6 +252,27 @@ def test_a_star_of_copies_hangs_together(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)[0]
 
 
+def test_links_off_the_centres_of_a_hot_bucket(spark):
+    """One template: most texts are near enough to meet, few pairs are links; all bands a linked pair shares hold others."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for k in range(120):
+        a = list(base)
+        at = rng.sample(range(0, 390, 5), 14)
+        for j in at:
+            a[j] = f"c{k}_{j}"
+        rows.append((k if k % 2 else 1000 - k, " ".join(a)))
+        if k % 12 == 0:  # a partner that is near this text only
+            for j in rng.sample([x for x in range(0, 390, 5) if x not in at], 6):
+                a[j] = f"d{k}_{j}"
+            rows.append((2000 + k, " ".join(a)))
+    component, _ = brute_components(rows)
+    assert 5 < sum(i != c for i, c in component.items()) < 40
+    got = minhash.near_duplicates(spark, table(spark, rows), bands=6, rows=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == component
+
+
 def test_near_duplicates_hard_rows(spark):
     rows = hard_rows()
     got = minhash.near_duplicates(spark, table(spark, rows)).collect()
