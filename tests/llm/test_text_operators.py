@@ -467,6 +467,13 @@ def test_base_spans_equal_brute_force(spark):
     assert secret_scan.find_secrets(table(spark, [])).count() == 0
 
 
+def test_hex_runs_without_a_digit():
+    never = re.compile(r"(?!)")
+    for text in ("a" * 40, "x " + "abcdef" * 6 + " y", "f" * 31, "F" * 40):
+        assert [s for s in secret_scan.scan(text, never) if s[1] < 3] == brute_base(text)
+    assert secret_scan.redact("x " + "abcdef" * 6, secret_scan.scan("x " + "abcdef" * 6, never)) == "x [hex]"
+
+
 def test_entropy_windows_equal_recounting():
     rng = random.Random(7)
     for _ in range(200):
