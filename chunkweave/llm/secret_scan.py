@@ -91,7 +91,12 @@ def scan(text: str, allow: re.Pattern) -> list[tuple[int, int, int]]:
             continue
         for a, b in entropy_spans(s):
             a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, _, y in base):  # a base span has it already
+            for x, _, y in base:  # what a base span has already is left out, the rest stays
+                if x < b and a < y:
+                    if a < x:
+                        found.append((a, 3, x))
+                    a = y
+            if a < b:
                 found.append((a, 3, b))
     return sorted(found)
 
