@@ -3,7 +3,7 @@
 A space between two non-space characters always starts a new pre-token, so a
 text may be cut there and each piece (with its leading space) encoded by
 itself.  Pieces of up to 16 bytes are looked up, vectorised, in a direct-mapped
-table that holds their bytes (so a hit is exact); all others of a batch go to
+table that holds their bytes and length (so a hit is exact); all others of a batch go to
 the encoder in one call, and their ids are told apart by byte length.  Texts
 with other white-space next to a space, where a cut would not be a pre-token
 boundary, go to the encoder whole.
@@ -97,6 +97,7 @@ class PieceIds:
         self.backend = backend
         self.k0 = np.zeros(1 << SLOT_BITS, U64)
         self.k1 = np.zeros(1 << SLOT_BITS, U64)
+        self.size = np.zeros(1 << SLOT_BITS, np.int8)  # the bytes are padded with zeros, which a piece may end in
         self.at = np.zeros(1 << SLOT_BITS, np.int64)
         self.n = np.zeros(1 << SLOT_BITS, np.int64)
         self.pool = np.zeros(POOL_IDS, np.uint32)
@@ -167,7 +168,7 @@ class PieceIds:
         k1 = view[np.minimum(start + 8, len(body) + 8)] & _KEEP[np.clip(size - 8, 0, 8)]
         slot = ((k0 * U64(0x9E3779B97F4A7C15) ^ (k1 + U64(0x632BE59BD9B4E019)) * U64(0xC2B2AE3D27D4EB4F)) * U64(0xD6E8FEB86659FD93) >> U64(64 - SLOT_BITS)).astype(np.int64)
         n = self.n[slot]
-        hit = (n > 0) & (self.k0[slot] == k0) & (self.k1[slot] == k1) & (size <= 16) & ~is_first & (size > 0)
+        hit = (n > 0) & (self.k0[slot] == k0) & (self.k1[slot] == k1) & (self.size[slot] == size) & (size <= 16) & ~is_first & (size > 0)
         at = self.at[slot]
         rest = np.flatnonzero(~hit & ~is_first)
         parts, base = [], self.used
@@ -211,7 +212,7 @@ class PieceIds:
             return
         ids = extra[_spread(at[good] - used, n[good])]
         s = slot[good]
-        self.k0[s], self.k1[s], self.n[s] = k0[good], k1[good], n[good]
+        self.k0[s], self.k1[s], self.size[s], self.n[s] = k0[good], k1[good], size[good], n[good]
         self.at[s] = self.used + np.concatenate(([0], np.cumsum(n[good])[:-1]))
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)

@@ -147,6 +147,15 @@ def test_json_pieces_equal_the_library():
         assert [ids.tolist() for _, ids in table_.rows(pa.array(texts))] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["json", "ranks"])
+def test_pieces_that_differ_by_trailing_nul_bytes(name):
+    table_ = tokens.PieceIds(tokens.RankBackend(JSON)) if name == "json" else bpe.coder(RANKS)[0]
+    one = lambda text: next(iter(table_.rows(pa.array([text]))))[1].tolist()
+    for first, second in (("x qzv", "x qzv\0"), ("x wvq\0\0", "x wvq"), ("x abcdefghijk\0", "x abcdefghijk"), ("x \0", "x \0\0")):
+        for text in (first, second, first):
+            assert one(text) == table_.backend.ids(text).tolist()
+
+
 def test_every_token_is_reached_by_its_merges():
     """What makes the rank encoder the same function as the library."""
     from tokenizers import Tokenizer
