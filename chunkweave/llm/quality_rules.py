@@ -88,9 +88,7 @@ def features(body: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     begins, ends, row = begins[worded], ends[worded], row[worded]
     line_bounds = np.searchsorted(row, np.arange(n + 1))
     out["n_lines"] = np.diff(line_bounds).astype(np.int64)
-    up, down = textops._powers(len(body) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(textops._EXACT[body] * up[: len(body)], dtype=np.uint64)))
-    lines = textops.mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    lines = textops.span_hashes(body, begins, ends)
     keys = _within(lines, line_bounds)
     first = np.zeros(len(keys), bool)
     first[np.unique(keys, return_index=True)[1]] = True

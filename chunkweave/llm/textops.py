@@ -3,7 +3,9 @@
 Everything here works on the raw UTF-8 buffer of a batch: no Python string is
 made per word.  A word is a maximal run of bytes outside space and 0x09-0x0D
 (those separators are single bytes in UTF-8, so byte runs are also code-point
-runs).  Word identity is a 64-bit keyed polynomial hash, finished by a mixer.
+runs).  Identity is a 64-bit multilinear hash: each byte's random number times
+that of its position, summed and finished by a mixer.  Unlike a polynomial
+modulo 2**64 it has no family of strings that collide whatever the numbers are.
 """
 
 from __future__ import annotations
@@ -16,8 +18,6 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 19
 
 
@@ -30,23 +30,6 @@ def _table(fold: bool) -> np.ndarray:
 
 
 _FOLDED, _EXACT = _table(True), _table(False)
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0][:n], _POWERS[1][:n]
-    size, made = 1 << (n - 1).bit_length(), []
-    for base in (_BASE, _BASE_INV):
-        step = np.full(size, base, U64)
-        step[0] = 1
-        made.append(np.cumprod(step, dtype=U64))
-    if size <= 1 << 22:  # those for longer texts aren't kept
-        _POWERS[:] = made
-    return made[0][:n], made[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = x ^ (x >> U64(30))
@@ -56,6 +39,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_MULTIPLIERS: dict[int, np.ndarray] = {}
+
+
+def _multipliers(n: int, salt: int) -> np.ndarray:
+    """At least n odd random numbers, one per position."""
+    have = _MULTIPLIERS.get(salt)
+    if have is not None and len(have) >= n:
+        return have
+    made = mix(np.arange(1, (1 << (n - 1).bit_length()) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(salt)) | U64(1)
+    if len(made) <= 1 << 20:  # those for longer spans aren't kept
+        _MULTIPLIERS[salt] = made
+    return made
+
+
+def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each (non-empty) span of bytes; fold: A-Z count as a-z; each salt is a hash of its own."""
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    upto = np.cumsum(size)
+    first = upto - size
+    place = np.arange(upto[-1]) - np.repeat(first, size)
+    value = (_FOLDED if fold else _EXACT)[body[np.repeat(start, size) + place]] * _multipliers(int(size.max()), salt)[place]
+    return mix(np.add.reduceat(value, first) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,16 +115,9 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.bounds)
 
-    def hashes(self, fold: bool) -> np.ndarray:
+    def hashes(self, fold: bool, salt: int = 0) -> np.ndarray:
         """64-bit hash of each word; fold: A-Z count as a-z."""
-        n = len(self.body)
-        if not len(self.start):
-            return np.zeros(0, U64)
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((_FOLDED if fold else _EXACT)[self.body] * up[:n], dtype=U64, out=total[1:])
-        raw = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(raw + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return span_hashes(self.body, self.start, self.end, fold, salt)
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
