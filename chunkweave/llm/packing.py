@@ -231,11 +231,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return out + [(a, capacity) for a in range(head, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens.json_pieces(tokenizer)
+        table = tokens.json_pieces(tokenizer, special_as_text)
         end = np.array([end_id], "<u4")
         for batch in batches:
             ids = batch.column(0)
@@ -259,17 +259,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
 def place(pieces: DataFrame, placed: list[tuple[int, int, int, int, int]], counts: dict[int, int], rows_per_rank: int = 500_000) -> DataFrame:
     """Adds sequence_id and offset: ranks the pieces of each length, then reads the plan.
 
-    A frequent length (the full one above all) is split over as many ranking
-    groups as its count asks for, so no task ranks more than a bounded share.
+    `row` numbers the written pieces.  A frequent length (the full one above
+    all) is split by it over as many ranking groups as its count asks for, so no
+    task ranks more than a bounded share, however alike the pieces are.
     """
     spread = {n: -(-c // rows_per_rank) for n, c in counts.items()}
     widest = max(spread.values(), default=1)
     part = F.lit(0)
     if widest > 1:
         per = F.create_map(*[F.lit(v) for n, k in spread.items() if k > 1 for v in (n, k)])
-        part = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.coalesce(per[F.col("length").cast("int")], F.lit(1))).cast("int")
+        part = F.pmod(F.xxhash64("row"), F.coalesce(per[F.col("length").cast("int")], F.lit(1))).cast("int")
     keyed = pieces.withColumn("_part", part)
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("row")) - 1)
     base: dict[tuple[int, int], int] = {}
     if widest > 1:
         seen: dict[int, int] = {}
@@ -308,16 +309,18 @@ def _by_length(runs: list[tuple[int, int, int, int, int]]) -> dict[int, list]:
     return out
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, rows_per_rank: int = 500_000) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, rows_per_rank: int = 500_000, special_as_text: bool = False) -> DataFrame:
     """Packs whole documents into as few sequences of at most `capacity` tokens as it can.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row
     per piece.  A null or empty text is the end id alone (one piece of length 1);
     longer documents than the capacity are cut, only their first piece being
     short.  Repeated rows are packed as often as they occur; a null id stays
-    null; other columns are not read.  No document at all gives no row.
+    null; other columns are not read.  No document at all gives no row.  The
+    string of a special token in a text gives that token, as the tokenizers
+    library has it, unless `special_as_text`.
     """
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, id_col, text_col, end_id), "pieces")
+    pieces = scratch.save(token_pieces(docs, tokenizer, capacity, id_col, text_col, end_id, special_as_text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     return place(pieces, best_plan(counts, capacity, groups), counts, rows_per_rank)

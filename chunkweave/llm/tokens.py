@@ -12,6 +12,7 @@ boundary, go to the encoder whole.
 from __future__ import annotations
 
 import json
+import re
 from typing import Protocol
 
 import numpy as np
@@ -41,19 +42,25 @@ class RankBackend:
 
     That is the same function as the tokenizers library's as long as merge i
     makes token 256 + i, which is checked here; where it does not hold, the
-    library itself is used on every text.
+    library itself is used on every text.  The strings of added tokens, in a
+    text, give their ids as with the library's own call; with `special_as_text`
+    they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters = byte_letters()
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        added = model.get("added_tokens", [])
+        special = {t["content"] for t in added}
         words = {w: i for w, i in model["model"]["vocab"].items() if w not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.exact = len(words) == 256 + len(merges) and all(words.get(a + b) == 256 + k for k, (a, b) in enumerate(merges))
+        simple = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")) and not any(c.isspace() for t in special for c in t)
+        self.exact = simple and len(words) == 256 + len(merges) and all(words.get(a + b) == 256 + k for k, (a, b) in enumerate(merges))
+        self.special = {} if special_as_text else {t["content"]: t["id"] for t in added}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         if self.exact:
             ranks = {bytes(letters[c] for c in w): i for w, i in words.items()}
             self._run = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -62,12 +69,17 @@ class RankBackend:
             from tokenizers import Tokenizer
 
             self._run = Tokenizer.from_file(path)
-            self._run.encode_special_tokens = True  # their strings in a text are ordinary text
+            self._run.encode_special_tokens = special_as_text
 
     def ids(self, text: str) -> np.ndarray:
-        if self.exact:
+        if not self.exact:
+            return np.array(self._run.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if not any(t in text for t in self.special):
             return np.array(self._run.encode_ordinary(text), dtype=np.uint32)
-        return np.array(self._run.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        out: list[int] = []
+        for part in self._cut.split(text):
+            out += [self.special[part]] if part in self.special else self._run.encode_ordinary(part)
+        return np.array(out, dtype=np.uint32)
 
 
 def byte_letters() -> dict[str, int]:
@@ -117,6 +129,7 @@ class PieceIds:
         if not len(body):
             return np.zeros(0, np.uint32), np.zeros(n_rows + 1, np.int64)
         plain = self._plain(body, offsets) if getattr(self.backend, "exact", True) else np.zeros(n_rows, bool)
+        plain &= ~self._special(body, offsets)
         space = body == 0x20
         if not plain.all():
             space &= np.repeat(plain, np.diff(offsets))
@@ -137,6 +150,17 @@ class PieceIds:
         ends = np.concatenate(([0], np.cumsum(n)))
         return ids, ends[bounds]
 
+    def _special(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold the string of an added token."""
+        out = np.zeros(len(offsets) - 1, bool)
+        for t in getattr(self.backend, "special", ()):
+            raw, want = body.tobytes(), t.encode()
+            at = raw.find(want)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(want, at + 1)
+        return out
+
     def _plain(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that may be cut at every space."""
         space, odd = body == 0x20, _ODD[body]
@@ -218,11 +242,12 @@ class PieceIds:
         self.used += len(ids)
 
 
-_OPEN: dict[str, PieceIds] = {}
+_OPEN: dict[tuple[str, bool], PieceIds] = {}
 
 
-def json_pieces(path: str) -> PieceIds:
+def json_pieces(path: str, special_as_text: bool = False) -> PieceIds:
     """One per Python worker and vocabulary file."""
-    if path not in _OPEN:
-        _OPEN[path] = PieceIds(RankBackend(path))
-    return _OPEN[path]
+    key = path, special_as_text
+    if key not in _OPEN:
+        _OPEN[key] = PieceIds(RankBackend(path, special_as_text))
+    return _OPEN[key]
