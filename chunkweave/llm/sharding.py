@@ -80,13 +80,36 @@ def overflow(counts: dict[int, int], owner: np.ndarray, room: list[int]) -> list
     return out
 
 
-def ring_shards(spark: SparkSession, docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _split(rows: DataFrame, counts: dict[int, int], limit: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Rows with their part of the arc, and how many rows of the arc stand before each part."""
+    wide = {a: -(-c // limit) for a, c in counts.items() if c > limit}
+    if not wide:
+        return rows.withColumn("part", F.lit(0).cast("long")), {}
+    pick = lambda table, key: F.coalesce(F.create_map(*[F.lit(v).cast("long") for k in table.items() for v in k])[key.cast("long")], F.lit(1))
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("position", "doc_id", "text_crc32", "size"), pick(wide, F.col("arc"))))
+    some = F.col("arc").isin(list(wide))
+    large = {r["arc"] << 32 | r["part"]: -(-r["count"] // limit) for r in parted.filter(some).groupBy("arc", "part").count().collect() if r["count"] > 2 * limit}
+    if large:
+        parted = parted.withColumn("part", F.col("part") + F.shiftleft(F.pmod(F.xxhash64("row"), pick(large, F.shiftleft(F.col("arc").cast("long"), 32).bitwiseOR(F.col("part")))), 32))
+    base: dict[tuple[int, int], int] = {}
+    seen: dict[int, int] = {}
+    for r in sorted(parted.filter(some).groupBy("arc", "part").count().collect()):
+        base[r["arc"], r["part"]] = seen.get(r["arc"], 0)
+        seen[r["arc"]] = seen.get(r["arc"], 0) + r["count"]
+    return parted, base
+
+
+def ring_shards(spark: SparkSession, docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0, rows_per_rank: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row.
 
     Size is the text's UTF-8 bytes (a null text has none) plus 16.  With no
     slack the law is `rows`: shard counts differ by at most one.  A null id has
     a place on the ring as any other; rows with equal ids stand next to each
     other and are told apart by text and size only.  An empty table gives no row.
+    An arc of more than `rows_per_rank` rows is split by a hash of its keys, and
+    a part whose keys are still too many (repeated rows) by the number of the
+    written row, so no task ranks an unbounded share; the parts stand one after
+    another on the arc.
     """
     scratch = Scratch(spark, "sharding")
     points, owner = ring(shards, virtual_nodes)
@@ -104,17 +127,20 @@ def ring_shards(spark: SparkSession, docs: DataFrame, shards: int, virtual_nodes
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(arcs, pa.int32())], names=[*b.schema.names, "arc"])
 
     schema = "doc_id long, size long, text_crc32 long, position long, arc int"
-    rows = scratch.save(keyed.mapInArrow(find_arc, schema), "rows")
+    rows = scratch.save(keyed.mapInArrow(find_arc, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
     counts = {r["arc"]: r["count"] for r in rows.groupBy("arc").count().collect()}  # shards x virtual nodes rows at most
     runs: dict[int, list] = {}
     for r in overflow(counts, owner, capacities(sum(counts.values()), shards, slack)):
         runs.setdefault(r[0], []).append(r)
     at = {a: tuple(np.array([r[k] for r in g]) for k in (1, 3, 4)) for a, g in runs.items()}
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("position", "doc_id", "text_crc32", "size")) - 1)
+    parted, base = _split(rows, counts, rows_per_rank)
+    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "part").orderBy("position", "doc_id", "text_crc32", "size", "row")) - 1)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             arcs, rank = b.column("arc").to_numpy(), b.column("rank").to_numpy().astype(np.int64)
+            if base:
+                rank = rank + np.array([base.get(k, 0) for k in zip(arcs.tolist(), b.column("part").to_pylist())], np.int64)
             shard, slot = np.empty(len(arcs), np.int32), np.empty(len(arcs), np.int64)
             order = np.argsort(arcs, kind="stable")
             edges = np.flatnonzero(np.diff(arcs[order], prepend=-1, append=-1))
