@@ -7,8 +7,10 @@ Bayes), a linear hinge-loss model is fitted on the scaled, length-normalised
 vectors by dual coordinate descent, and its margin is mapped to a probability.
 
 The model is fitted on at most TRAIN_ROWS labelled rows that aren't held out
-(the first by a hash of the id, half of them per class as far as they go), so
-what reaches the driver has a fixed bound.  Scoring is one pass over all texts.
+(the first by a hash of the id, half of them per class as far as they go).  What
+reaches the driver are their n-grams, taken by the executors: one row an id, of
+at most BUCKETS / 8 bytes, whatever the length of the text.  Scoring is one pass
+over all texts.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ U64 = np.uint64
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 TRAIN_ROWS = 4000
+EPOCHS = 30
+#: Values of scaled examples that the driver keeps between epochs; beyond, they are made when needed.
+KEPT_VALUES = 1 << 24
 SHAPE_GRAMS = 4
 CUTOFF = 0.7
 _CLASS = np.full(256, 4, np.uint64)  # 4: letters beyond ASCII; the rest by kind
@@ -102,22 +107,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(body, offsets) + self.shift, -35, 35)))
 
 
-def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear hinge-loss weights and bias by dual coordinate descent.
 
-    Example i has the values ratio[rows[i]], scaled to length one (they are
-    made when needed, never kept for all examples).  Each step takes one example
+    Example i has the values ratio[rows[i]], scaled to length one.  Each step takes one example
     and moves its multiplier, kept in [0, cost i], to where the projected
-    gradient of the dual vanishes.
+    gradient of the dual vanishes.  It ends when no gradient of an epoch
+    exceeds 1e-3, or after `epochs`.
     """
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(y))
     rng = np.random.default_rng(seed)
+    kept = [_unit(ratio[r]).astype(np.float32) for r in rows] if sum(map(len, rows)) <= KEPT_VALUES else None
     for _ in range(epochs):
         worst = 0.0
-        for i in rng.permutation(len(y)):
+        for i in rng.permutation(len(y)).tolist():
             r = rows[i]
-            v = _unit(ratio[r])
+            v = kept[i] if kept else _unit(ratio[r])
             slack = y[i] * (float(w[r] @ v) + bias) - 1
             projected = min(slack, 0) if alpha[i] == 0 else max(slack, 0) if alpha[i] == cost[i] else slack
             if projected:
@@ -150,19 +156,37 @@ def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return float(a), float(b)
 
 
-def fit(texts: list[str], labels: list[int], cost: float = 1.0, smooth: float = 1.0) -> Model:
+def gram_bytes(texts: pa.Array) -> list[bytes]:
+    """The buckets of each text: as numbers, or as a bit each where that is shorter."""
+    out = []
+    for _, _, body, offsets in textops.chunks(texts, 1 << 18):
+        row, bucket = indicators(body, offsets)
+        cuts = np.searchsorted(row, np.arange(len(offsets)))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = bucket[a:b]
+            if len(own) * 4 < BUCKETS // 8:
+                out.append(own.astype("<i4").tobytes())
+            else:
+                flags = np.zeros(BUCKETS, bool)
+                flags[own] = True
+                out.append(np.packbits(flags).tobytes())
+    return out
+
+
+def gram_buckets(packed: bytes) -> np.ndarray:
+    """What `gram_bytes` packed."""
+    if len(packed) < BUCKETS // 8:
+        return np.frombuffer(packed, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8))).astype(np.int32)
+
+
+def fit(grams: list[bytes], labels: list[int], cost: float = 1.0, smooth: float = 1.0, epochs: int = EPOCHS) -> Model:
     """A model of quality 1 against 0.  With one class, or no rows, all texts score 1 resp. 0, or 0.5."""
     if len(set(labels)) < 2:
         sure = 0.0 if not labels else 10.0 if labels[0] == 1 else -10.0
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 1.0, sure)
-    order = np.random.default_rng(3).permutation(len(texts))
-    texts, y = [texts[i] for i in order], np.where(np.array(labels)[order] == 1, 1.0, -1.0)
-    rows: list[np.ndarray] = []
-    for _, _, body, offsets in textops.chunks(pa.array(texts, pa.large_string()), 1 << 18):
-        row, bucket = indicators(body, offsets)
-        cuts = np.searchsorted(row, np.arange(len(offsets)))
-        rows += [bucket[cuts[k] : cuts[k + 1]].astype(np.int32) for k in range(len(offsets) - 1)]
-    del texts
+    order = np.random.default_rng(3).permutation(len(grams))
+    rows, y = [gram_buckets(grams[i]) for i in order], np.where(np.array(labels)[order] == 1, 1.0, -1.0)
 
     def count(idx: np.ndarray, sign: float) -> np.ndarray:
         out = np.zeros(BUCKETS)
@@ -176,7 +200,7 @@ def fit(texts: list[str], labels: list[int], cost: float = 1.0, smooth: float =
         n1, n0 = max((y[idx] > 0).sum(), 1), max((y[idx] < 0).sum(), 1)
         r = np.log((p / (n1 + 2 * smooth)) / (q / (n0 + 2 * smooth)))
         each = np.where(y[idx] > 0, cost * len(idx) / (2 * n1), cost * len(idx) / (2 * n0))
-        w, bias = dual_descent([rows[i] for i in idx], r, y[idx], each)
+        w, bias = dual_descent([rows[i] for i in idx], r, y[idx], each, epochs)
         return w, r, bias
 
     # the map to probabilities is fitted on margins of rows that a model hasn't seen
@@ -204,15 +228,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> list:
-    """At most `rows` (text, quality), first by a hash of the id."""
+    """At most `rows` (doc_id, quality, grams), first by a hash of the id; of a repeated id one."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rank = F.xxhash64("doc_id")
     some = None
     for q in (0, 1):
         part = known.filter(F.col("quality") == q).orderBy(rank, "doc_id").limit(rows // 2)
         some = part if some is None else some.union(part)
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # at most `rows` ids
-    return picked.select("text", "quality", "doc_id").collect()
+    picked = docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")  # at most `rows` ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gram_bytes(batch.column(2)), pa.binary())], names=["doc_id", "quality", "grams"])
+
+    return picked.mapInArrow(run, "doc_id long, quality int, grams binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("grams").alias("grams")).collect()
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +249,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, trai
 
     Every whole text is scored; a null text counts as empty.  Labels with a null
     id or quality are left out, an id labelled both ways counts as 0, repeated
-    rows are scored each.  Without usable labels of both classes every text gets
+    rows are scored each (one of them is learnt from).  Without usable labels of both classes every text gets
     the score of the one class seen, or 0.5.  A null id is not held out.
     """
     shared = shared_model(spark, docs, labels, train_rows, id_col, text_col)
@@ -234,13 +263,13 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, trai
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
-def shared_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text"):
+def shared_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS):
     """The fitted model, broadcast: 2 x BUCKETS numbers whatever the input's size."""
     small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    sample = sorted(training_rows(own, known, train_rows), key=lambda r: (r["doc_id"], r["text"]))
-    return spark.sparkContext.broadcast(fit([r["text"] for r in sample], [r["quality"] for r in sample]))
+    sample = sorted(training_rows(own, known, train_rows), key=lambda r: r["doc_id"])
+    return spark.sparkContext.broadcast(fit([bytes(r["grams"]) for r in sample], [r["quality"] for r in sample], epochs=epochs))
 
 
 def batch_scores(model: Model, texts: pa.Array) -> np.ndarray:
