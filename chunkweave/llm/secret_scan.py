@@ -30,15 +30,13 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of 32 and more
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
-#: Candidates that are no secrets: UUIDs, dates and version or path-like names, words joined by hyphens or underscores.
+#: Candidates that are no secrets: those without a digit (words, names, paths) or without a letter, UUIDs, dates, words with a number at the end.
 ALLOW = (
+    r"[^0-9]+",
+    r"[^A-Za-z]+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-].*)?",
-    r"[A-Za-z]*([-_/][A-Za-z]+)*",
     r"([a-z]+[-_/])+[0-9]+",
-    r"[0-9+/_=-]+",
 )
 #: count * log2(count); a window holds one character more for a moment
 _PLAIN = [(w * math.log2(w) if w else 0.0) for w in range(WINDOW + 2)]
@@ -84,18 +82,27 @@ def scan(text: str, allow: re.Pattern) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = sorted(found)
+    covered: list[list[int]] = []
+    for a, _, b in sorted(found):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    at = 0  # both lists are in order
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if not _DIGIT.search(s) or not _LETTER.search(s) or allow.fullmatch(s):
+        if allow.fullmatch(s):
             continue
         for a, b in entropy_spans(s):
             a, b = a + m.start(), b + m.start()
-            for x, _, y in base:  # what a base span has already is left out, the rest stays
-                if x < b and a < y:
-                    if a < x:
-                        found.append((a, 3, x))
-                    a = y
+            while at < len(covered) and covered[at][1] <= a:
+                at += 1
+            k = at
+            while k < len(covered) and covered[k][0] < b:  # what a base span has already is left out, the rest stays
+                if a < covered[k][0]:
+                    found.append((a, 3, covered[k][0]))
+                a = covered[k][1]
+                k += 1
             if a < b:
                 found.append((a, 3, b))
     return sorted(found)
