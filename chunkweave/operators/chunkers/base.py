@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -43,8 +44,51 @@ def chunk_id(path: str, c: Chunk) -> str:
     return f"{stem(path)}:{c.kind}:{clean(c.name)}:{c.start}"
 
 
-def line_at(text: str, offset: int) -> int:
-    return text.count("\n", 0, offset) + 1
+class Lines:
+    """Line numbers of offsets, by bisection."""
+
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def at(self, offset: int) -> int:
+        return bisect.bisect_right(self.starts, offset)
+
+
+class Coverage:
+    """Which lines (from 1) are used."""
+
+    def __init__(self, lines: int):
+        self.used = bytearray(lines + 2)
+        self.lines = lines
+
+    def meets(self, first: int, last: int) -> bool:
+        return self.used.find(1, first, last + 1) >= 0
+
+    def add(self, first: int, last: int) -> None:
+        self.used[first : last + 1] = b"\1" * (last + 1 - first)
+
+    def next_used(self, first: int) -> int:
+        """The first used line from `first` on, or the one after the last."""
+        k = self.used.find(1, first, self.lines + 1)
+        return k if k >= 0 else self.lines + 1
+
+    def gaps(self) -> list[tuple[int, int]]:
+        out, k = [], 1
+        while k <= self.lines:
+            end = self.next_used(k)
+            if end > k:
+                out.append((k, end - 1))
+            free = self.used.find(0, end, self.lines + 1)
+            k = free if free >= 0 else self.lines + 1
+        return out
+
+
+def succeeded(chunks: list[Chunk], text: str, cfg: Config) -> bool:
+    """Whether a split is worth keeping: three chunks or more, none nearly the whole, their mean not over twice the target."""
+    if len(chunks) < 3:
+        return False
+    sizes = [len(c.content) for c in chunks]
+    return max(sizes) <= 0.9 * len(text) and sum(sizes) / len(sizes) <= 2 * cfg.target_size
 
 
 def node_importance(kind_score: float, text: str, children: int) -> float:

@@ -6,8 +6,9 @@ import ast
 import re
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from chunkweave.operators.chunkers.base import Chunk, Config, line_at, node_importance, size_tags
+from chunkweave.operators.chunkers.base import Chunk, Config, Lines, node_importance, size_tags
 
 ROLES = (("controller", "controller|handler|endpoint|route"), ("service", "service|manager|provider"), ("repository", "repository|dao|store"), ("model", "model|entity|schema"), ("utility", "util|helper|tool"), ("test", "test|mock|fixture"))
 
@@ -20,26 +21,71 @@ def docstring_quality(doc: str) -> float:
     return min(1.0, score + (0.3 if ends >= 3 else 0.2 if ends else 0.0))
 
 
+_DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.comprehension, ast.match_case)
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Node type -> the fields that hold nodes.
+_BRANCHES: dict[type, tuple[str, ...]] = {}
+_LEAVES = frozenset("ctx op ops id attr name names module level n s kind lineno type_comment type_ignores arg asname rest simple is_async conversion tag type_params".split())
+
+
+@dataclass
+class Facts:
+    """What one walk over a definition tells."""
+
+    cyclomatic: int = 1
+    slots: int = 0
+    annotated: int = 0
+    caught: bool = False
+    yields: bool = False
+    abstract: bool = False
+    calls: dict[str, None] = field(default_factory=dict)
+
+    @property
+    def type_coverage(self) -> float:
+        """Share of parameters and returns of the functions inside that are annotated."""
+        return self.annotated / self.slots if self.slots else 0.0
+
+
+def facts(node: ast.AST) -> Facts:
+    """Decision points, annotations, calls and flags, in one walk, level by level."""
+    f = Facts()
+    queue: list[ast.AST] = [node]
+    for x in queue:  # grows while it is read
+        kind = type(x)
+        if kind is ast.Call:
+            target = x.func
+            called = target.id if type(target) is ast.Name else target.attr if type(target) is ast.Attribute else None
+            if called:
+                f.calls[f"calls:{called}"] = None
+        elif kind in _FUNCTIONS:
+            args = [a for a in [*x.args.posonlyargs, *x.args.args, *x.args.kwonlyargs] if a.arg not in ("self", "cls")]
+            f.slots += len(args) + 1
+            f.annotated += sum(a.annotation is not None for a in args) + (x.returns is not None)
+        elif kind in _DECISIONS:
+            f.cyclomatic += 1
+        elif kind is ast.BoolOp:
+            f.cyclomatic += len(x.values) - 1
+        elif kind is ast.Try:
+            f.caught = True
+        elif kind is ast.Yield or kind is ast.YieldFrom:
+            f.yields = True
+        if not f.abstract and getattr(x, "decorator_list", None):
+            f.abstract = any("abstract" in ast.dump(d) for d in x.decorator_list)
+        names = _BRANCHES.get(kind)
+        if names is None:
+            names = _BRANCHES[kind] = tuple(n for n in x._fields if n not in _LEAVES and not (kind is ast.Constant and n == "value"))
+        for n in names:
+            v = getattr(x, n, None)
+            if v.__class__ is list:
+                queue += [y for y in v if isinstance(y, ast.AST)]
+            elif isinstance(v, ast.AST):
+                queue.append(v)
+    return f
+
+
 def cyclomatic(node: ast.AST) -> int:
     """One and every decision point."""
-    n = 1
-    for x in ast.walk(node):
-        if isinstance(x, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.comprehension, ast.match_case)):
-            n += 1
-        elif isinstance(x, ast.BoolOp):
-            n += len(x.values) - 1
-    return n
-
-
-def type_coverage(node: ast.AST) -> float:
-    """Share of parameters and returns of the functions inside that are annotated."""
-    slots = done = 0
-    for f in ast.walk(node):
-        if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            args = [a for a in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs] if a.arg not in ("self", "cls")]
-            slots += len(args) + 1
-            done += sum(a.annotation is not None for a in args) + (f.returns is not None)
-    return done / slots if slots else 0.0
+    return facts(node).cyclomatic
 
 
 def role(name: str) -> str:
@@ -47,47 +93,47 @@ def role(name: str) -> str:
     return next((r for r, p in ROLES if re.search(p, low)), "component")
 
 
-def _names(node: ast.AST) -> list[str]:
-    out = []
-    for x in ast.walk(node):
-        if isinstance(x, ast.Call):
-            f = x.func
-            name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-            if name and f"calls:{name}" not in out:
-                out.append(f"calls:{name}")
-    return out
+_CHUNKS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)
+
+
+def _first_hits(nodes: list[ast.stmt], depth: int = 0) -> Iterator[ast.stmt]:
+    """Chunk nodes; other statements are searched inside, down to 30 levels, and a hit isn't."""
+    for x in nodes:
+        if isinstance(x, _CHUNKS):
+            yield x
+        elif depth < 30:
+            for branch in ("body", "handlers", "orelse", "finalbody", "cases"):
+                yield from _first_hits(getattr(x, branch, []), depth + 1)
 
 
 def python(text: str, cfg: Config) -> Iterator[Chunk]:
-    """Top-level functions, classes, imports and assignments; a file that doesn't parse gives none."""
+    """Outermost functions, classes, imports and assignments, also inside other statements; a file that doesn't parse gives none."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError):
         return
     lines = text.split("\n")
     imports: list[tuple[Chunk, str]] = []
-    for node in tree.body:
+    for node in _first_hits(tree.body):
         first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
         body = "\n".join(lines[first - 1 : node.end_lineno])
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             is_class = isinstance(node, ast.ClassDef)
             c = Chunk("class" if is_class else "function", body, first, node.end_lineno, node.name)
             c.importance = node_importance(0.9, body, len(node.body))
-            doc = ast.get_docstring(node) or ""
-            types, cyc = type_coverage(node), cyclomatic(node)
-            caught = any(isinstance(x, ast.Try) for x in ast.walk(node))
+            doc, f = ast.get_docstring(node) or "", facts(node)
             c.tags.append(c.kind)
             flags = {
                 "async": isinstance(node, ast.AsyncFunctionDef),
                 "decorated": bool(node.decorator_list),
-                "generator": not is_class and any(isinstance(x, (ast.Yield, ast.YieldFrom)) for x in ast.walk(node)),
+                "generator": not is_class and f.yields,
                 "inherits": is_class and bool(node.bases),
-                "abstract": any("abstract" in ast.dump(d) for x in ast.walk(node) for d in getattr(x, "decorator_list", [])),
-                "error_handling": caught,
+                "abstract": f.abstract,
+                "error_handling": f.caught,
             }
             c.tags += [k for k, v in flags.items() if v]
-            c.deps = _names(node) + [f"declares:{node.name}"]
-            c.meta = {"docstring_quality": f"{docstring_quality(doc):.2f}", "type_coverage": f"{types:.4f}", "cyclomatic": str(cyc), "role": role(node.name)}
+            c.deps = [*f.calls, f"declares:{node.name}"]
+            c.meta = {"docstring_quality": f"{docstring_quality(doc):.2f}", "type_coverage": f"{f.type_coverage:.4f}", "cyclomatic": str(f.cyclomatic), "role": role(node.name)}
             size_tags(c)
             yield c
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
@@ -121,23 +167,26 @@ def _group_imports(imports: list[tuple[Chunk, str]]) -> Iterator[Chunk]:
 def _skip(text: str, i: int, marks: str) -> int:
     """The index after a string or comment that starts at i, or i."""
     c = text[i]
-    if text.startswith("//", i):
-        end = text.find("\n", i)
-        return len(text) if end < 0 else end
-    if text.startswith("/*", i):
-        end = text.find("*/", i + 2)
-        return len(text) if end < 0 else end + 2
+    if c == "/":
+        if text.startswith("//", i):
+            end = text.find("\n", i)
+            return len(text) if end < 0 else end
+        if text.startswith("/*", i):
+            end = text.find("*/", i + 2)
+            return len(text) if end < 0 else end + 2
+        return i
     if c in marks:
-        j = i + 1
-        while j < len(text) and text[j] != c:
-            if text[j] == "\n" and c != "`":
-                return j
-            j += 2 if text[j] == "\\" else 1
-        return min(j + 1, len(text))
+        m = _STRING[c].match(text, i + 1)
+        j = m.end()
+        return j if text.startswith("\n", j) else min(j + 1, len(text))
     return i
 
 
+#: What a string holds: up to its mark, or to the line's end where it can't go on.
+_STRING = {c: re.compile(rf"(?:[^{c}\\{'' if c == '`' else chr(10)}]|\\.)*", re.S) for c in "\"'`"}
 _GOES_ON = re.compile(r"\s*([.?:+*/%&|=,{(\[)<-]|(where|extends|implements|throws|from|else|catch|finally)\b)")
+_TURN = re.compile(r"[\"'`/{}()\[\];\n]")
+_CLOSED = re.compile(r"[ \t]*[;,)]*")
 
 
 def statement_end(text: str, i: int, marks: str = "\"'`") -> int:
@@ -147,39 +196,48 @@ def statement_end(text: str, i: int, marks: str = "\"'`") -> int:
     """
     depth, opened = 0, False
     begun = i
-    while i < len(text):
-        j = _skip(text, i, marks)
-        if j > i:
-            i = j
-            continue
-        c = text[i]
+    while True:
+        m = _TURN.search(text, i)
+        if not m:
+            return len(text)
+        i, c = m.start(), m.group()
         if c in "{([":
             depth += 1
             opened |= c == "{"
         elif c in "})]":
             depth -= 1
             if depth <= 0 and c == "}" and opened:
-                rest = re.match(r"[ \t]*[;,)]*", text[i + 1 :])
-                return i + 1 + (rest.end() if rest and ";" in rest.group() else 0)
-        elif depth == 0 and (c == ";" or (c == "\n" and opened)):
-            return i + 1
-        elif depth == 0 and c == "\n" and not re.search(r"[=+*/%&|?:,(<>.\]-]\s*$", text[begun:i]) and not _GOES_ON.match(text, i):
-            return i + 1
+                rest = _CLOSED.match(text, i + 1)
+                return rest.end() if ";" in rest.group() else i + 1
+        elif c in ";\n":
+            if depth == 0 and (c == ";" or opened):
+                return i + 1
+            if depth == 0:
+                k = i - 1
+                while k >= begun and text[k].isspace():
+                    k -= 1
+                if not (k >= begun and text[k] in "=+*/%&|?:,(<>.]-") and not _GOES_ON.match(text, i):
+                    return i + 1
+        else:
+            j = _skip(text, i, marks)
+            if j > i:
+                i = j
+                continue
         i += 1
-    return len(text)
 
 
+_SPACES = re.compile(r"[ \t\r\n]*")
 _NO_CALL = frozenset("fn for function if match return switch while".split())
 
 
 def _scan(text: str, heads: list[tuple[str, str, float]], marks: str, tags) -> Iterator[Chunk]:
     """Chunks that begin with one of the heads (pattern with a group `name`, kind, score) outside other chunks."""
     patterns = [(re.compile(p), k, s) for p, k, s in heads]
-    i = 0
-    while i < len(text):
-        if text[i] in " \t\r\n":
-            i += 1
-            continue
+    i, lines = 0, Lines(text)
+    while True:
+        i = _SPACES.match(text, i).end()
+        if i >= len(text):
+            return
         j = _skip(text, i, marks)
         if j > i:
             i = j
@@ -189,7 +247,7 @@ def _scan(text: str, heads: list[tuple[str, str, float]], marks: str, tags) -> I
             if m:
                 end = statement_end(text, i, marks)
                 body = text[i:end].rstrip()
-                start = line_at(text, i)
+                start = lines.at(i)
                 c = Chunk(kind, body, start, start + body.count("\n"), m.groupdict().get("name"), node_importance(score, body, body.count("\n") + 1))
                 c.tags = [kind, *tags(body)]
                 c.deps = list(dict.fromkeys(f"calls:{x}" for x in re.findall(r"\b([A-Za-z_]\w*)\s*\(", body) if x not in _NO_CALL))
@@ -245,27 +303,59 @@ def rust(text: str, cfg: Config) -> Iterator[Chunk]:
 CSS_IMPORTANT = {"media": 0.8, "keyframes": 0.7, "import": 0.6, "rule": 0.7, "at_rule": 0.6}
 
 
+_CSS_TURN = re.compile(r"[{};\"']")
+_CSS_AT = re.compile(r"@(-\w+-)?(\w+)")
+_SELECTORS = tuple((n, re.compile(p)) for n, p in (("class_selector", r"\.[A-Za-z_-]"), ("id_selector", r"#[A-Za-z_-]"), ("pseudo_selector", r":\w"), ("attribute_selector", r"\[")))
+_CSS_BODY = tuple((n, re.compile(p)) for n, p in (("layout", r"display\s*:\s*(flex|grid)"), ("animation", r"animation")))
+_CSS_URL = re.compile(r"""url\(["']?([^"')]+)""")
+_CSS_IMPORT = re.compile(r"""@import\s+["']([^"']+)""")
+_PROPERTY = re.compile(r"([a-z-]+)\s*:[^;{}]+[;}]")
+
+
+def _css_end(text: str, i: int) -> int:
+    """End of the rule or at-rule that starts at i."""
+    depth = 0
+    while True:
+        m = _CSS_TURN.search(text, i)
+        if not m:
+            return len(text)
+        i, c = m.end(), m.group()
+        if c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth <= 0:
+                return i
+        elif c == ";":
+            if depth == 0:
+                return i
+        else:
+            i = _skip(text, m.start(), c)
+
+
 def css(text: str, cfg: Config) -> Iterator[Chunk]:
     """Rules and at-rules of the top level, comments left out."""
     bare = re.sub(r"/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m.group()), text, flags=re.S)
-    i = 0
-    while i < len(bare):
-        m = re.compile(r"\s*").match(bare, i)
-        i = m.end()
+    i, lines = 0, Lines(text)
+    while True:
+        i = _SPACES.match(bare, i).end()
         if i >= len(bare):
             return
-        end = statement_end(bare, i, "\"'")
+        end = _css_end(bare, i)
         body = text[i:end].strip()
-        head = bare[i:end].split("{")[0].strip()
-        at = re.match(r"@(-\w+-)?(\w+)", head)
+        head = bare[i:end].split("{", 1)[0].strip()
+        at = _CSS_AT.match(head)
         kind = ("at_rule" if at.group(2) not in ("media", "keyframes", "import") else at.group(2)) if at else "rule"
         if body and body != "}":
-            start = line_at(text, i)
+            start = lines.at(i)
             c = Chunk("css_" + kind, body, start, start + body.count("\n"), head[:50], node_importance(CSS_IMPORTANT[kind], body, body.count(";")))
-            rules = (("class_selector", r"\.[A-Za-z_-]"), ("id_selector", r"#[A-Za-z_-]"), ("pseudo_selector", r":\w"), ("attribute_selector", r"\["))
-            c.tags = [kind, *[n for n, p in rules if not at and re.search(p, head)], *[n for n, p in (("layout", r"display\s*:\s*(flex|grid)"), ("animation", r"animation")) if re.search(p, body)]]
-            c.deps = re.findall(r"""url\(["']?([^"')]+)""", body) + re.findall(r"""@import\s+["']([^"']+)""", body)
-            c.meta = {"properties": ",".join(dict.fromkeys(re.findall(r"([a-z-]+)\s*:[^;{}]+[;}]", body)))}
+            c.tags = [kind, *[n for n, p in _SELECTORS if not at and p.search(head)], *[n for n, p in _CSS_BODY if p.search(body)]]
+            c.deps = _CSS_URL.findall(body) + _CSS_IMPORT.findall(body)
+            c.meta = {"properties": ",".join(dict.fromkeys(_PROPERTY.findall(body)))}
+            if at:
+                c.meta["at_rule"] = at.group(2)
+            else:
+                c.meta["selectors"] = ",".join(x.strip() for x in head.split(","))
             yield c
         i = max(end, i + 1)
 
@@ -278,3 +368,26 @@ C_HEADS = [(r"#include\b[^\n]*", "import", 0.6), (r"(typedef\s+)?(struct|class|e
 
 def simple(heads: list[tuple[str, str, float]]):
     return lambda text, cfg: _scan(text, heads, "\"'", lambda body: [])
+
+
+# --- maps of lines: YAML and TOML --------------------------------------------------------
+
+
+def _line_map(head: re.Pattern, kind: str, tag: str):
+    """A chunker whose chunks begin at each line that the head matches and go on to the next."""
+
+    def run(text: str, cfg: Config) -> Iterator[Chunk]:
+        lines = text.split("\n")
+        begins = [(k, m) for k, x in enumerate(lines) if (m := head.match(x))]
+        for n, (k, m) in enumerate(begins):
+            end = begins[n + 1][0] if n + 1 < len(begins) else len(lines)
+            body = "\n".join(lines[k:end]).rstrip()
+            c = Chunk(kind, body, k + 1, k + 1 + body.count("\n"), m.group("name").strip(), node_importance(0.7, body, body.count("\n")), [tag, kind])
+            size_tags(c)
+            yield c
+
+    return run
+
+
+yaml = _line_map(re.compile(r"(?P<name>[^\s#:-][^:]*):(\s|$)"), "yaml_pair", "yaml")
+toml = _line_map(re.compile(r"\[{1,2}(?P<name>[^\[\]]+)\]{1,2}"), "toml_table", "toml")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import json as jsonlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
@@ -11,10 +13,13 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 from chunkweave.functions.tags import EMAIL, FILE_PATH, TECHNICAL
-from chunkweave.operators.chunkers.base import Chunk, Config, line_at, node_importance
+from chunkweave.operators.chunkers import xmltext
+from chunkweave.operators.chunkers.base import Chunk, Config, Coverage, Lines, node_importance, succeeded
 from chunkweave.operators.segment import KEY_VALUE, LOG_LINE, NUMBERED, SECTION
 
 SEMANTIC = frozenset("article section header footer main nav aside h1 h2 h3 h4 h5 h6 p div ul ol dl table form figure blockquote pre code script style details".split())
+#: Elements nested deeper are part of those above them only.
+MAX_DEPTH = 30
 _MARK = re.compile(r"<[^<>]+>")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -25,9 +30,8 @@ class _Elements(HTMLParser):
     def __init__(self, text: str):
         super().__init__(convert_charrefs=False)
         self.text, self.found, self.open = text, [], []
-        self.starts = [0]
-        for m in re.finditer("\n", text):
-            self.starts.append(m.end())
+        self.counts: dict[str, int] = {}  # open elements by tag, so that a stray end tag searches nothing
+        self.starts = Lines(text).starts
         self.feed(text)
         self.close()
         self._shut(0, len(text))
@@ -39,7 +43,8 @@ class _Elements(HTMLParser):
     def _shut(self, depth: int, end: int) -> None:
         while len(self.open) > depth:
             tag, attrs, start = self.open.pop()
-            if tag in SEMANTIC:
+            self.counts[tag] -= 1
+            if tag in SEMANTIC and len(self.open) <= MAX_DEPTH:
                 self.found.append((start, end, tag, attrs))
 
     def handle_starttag(self, tag, attrs):
@@ -47,24 +52,29 @@ class _Elements(HTMLParser):
             self._shut(len(self.open) - 1, self._at())
         if tag not in VOID:
             self.open.append((tag, dict(attrs), self._at()))
+            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
+        if not self.counts.get(tag):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 here = self._at()
                 self._shut(k + 1, here)
-                self._shut(k, here + (self.text.find(">", here) + 1 - here if ">" in self.text[here:] else 0))
+                close = self.text.find(">", here)
+                self._shut(k, close + 1 if close >= 0 else here)
                 return
 
 
 def html(text: str, cfg: Config) -> Iterator[Chunk]:
     """Every semantic element, nested ones too; headings pass whatever their size."""
+    lines = Lines(text)
     for start, end, tag, attrs in sorted(_Elements(text).found, key=lambda f: (f[0], -f[1])):
         body = text[start:end].strip()
         heading = re.fullmatch(r"h[1-6]", tag)
         if not body or (len(body) < cfg.min_size and not heading):
             continue
-        first = line_at(text, start)
+        first = lines.at(start)
         name = attrs.get("id") or (attrs.get("class") or "").split(" ")[0] or tag
         c = Chunk("html_element", body, first, first + body.count("\n"), name, node_importance(0.9 if heading or tag in ("article", "main") else 0.7, body, body.count("<")), always=bool(heading))
         c.tags = ["html", tag] + ([f"level_{tag[1]}"] if heading else []) + [f"class_{k}" for k in (attrs.get("class") or "").split()] + ([f"id_{attrs['id']}"] if attrs.get("id") else [])
@@ -211,19 +221,24 @@ def feed(text: str, cfg: Config) -> Iterator[Chunk]:
 
 
 def xml(text: str, cfg: Config) -> Iterator[Chunk]:
-    """Elements near the target size, repeated small ones in batches; fragments by pattern if it isn't well-formed."""
+    """Elements near the target size, repeated small ones in batches; where the tree can't be read or splits badly, by tags."""
     kind = feed_kind(text)
     if kind != "unknown":
         yield from feed(text, cfg)
         return
     try:
-        root = ET.fromstring(text)
+        found = list(_by_tree(text, cfg))
     except ET.ParseError:
-        for m in re.finditer(r"<(\w+)\b[^>]*>.*?</\1>", text, re.S):
-            if len(m.group()) >= cfg.min_size:
-                first = line_at(text, m.start())
-                yield Chunk("xml_element", m.group(), first, first + m.group().count("\n"), m.group(1), 0.5, ["xml", "fragment"])
-        return
+        found = []
+    if not succeeded(found, text, cfg):
+        other = xmltext.by_tags(text, cfg)
+        found = other if len(other) > len(found) else found
+    yield from found or [Chunk("xml_element", text.strip(), 1, text.count("\n") + 1, "document", 0.5, ["xml", "fallback"])]
+
+
+def _by_tree(text: str, cfg: Config) -> Iterator[Chunk]:
+    root = ET.fromstring(text)
+    lines = Lines(text)
     cursor = 0
 
     def place(node: ET.Element) -> tuple[int, str]:
@@ -231,7 +246,7 @@ def xml(text: str, cfg: Config) -> Iterator[Chunk]:
         m = re.compile(rf"<([\w.-]+:)?{re.escape(_local(node.tag))}\b").search(text, cursor)
         if m:
             cursor = m.start() + 1
-        return line_at(text, m.start()) if m else 1, ET.tostring(node, encoding="unicode").strip()
+        return lines.at(m.start()) if m else 1, ET.tostring(node, encoding="unicode").strip()
 
     def emit(nodes: list[ET.Element]) -> Chunk:
         spots = [place(x) for x in nodes]
@@ -271,6 +286,15 @@ def xml(text: str, cfg: Config) -> Iterator[Chunk]:
 
 
 def markdown(text: str, cfg: Config) -> Iterator[Chunk]:
+    """Heading sections and what is in and before them; sections by underlined or numbered headings where those split better."""
+    found = list(_by_blocks(text, cfg))
+    if not succeeded(found, text, cfg):
+        other = [Chunk("section", body, a, b, f"section_{a}", 0.6, ["markdown", "section"]) for _, a, b, body in _sections(text, cfg) if len(body) >= cfg.min_size]
+        found = other if len(other) > len(found) else found
+    yield from found
+
+
+def _by_blocks(text: str, cfg: Config) -> Iterator[Chunk]:
     """Heading sections, and inside and before them fenced code, tables, lists, quotes and paragraphs."""
     lines = text.split("\n")
     fence = None
@@ -335,61 +359,121 @@ LATEX_FAMILIES = {
 _LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph")
 
 
+_ENDS = re.compile(r"\\(begin|end)\{(\w+\*?)\}")
+_DISPLAY = re.compile(r"\$\$.+?\$\$|\\\[.+?\\\]", re.S)
+_HEAD = re.compile(rf"\\({'|'.join(_LEVELS)})\*?\{{([^}}]*)\}}")
+_LATEX_DEPS = re.compile(r"\\(cite[tp]?|ref|eqref|input|include|usepackage)(?:\[[^\]]*\])?\{([^}]*)\}")
+_LATEX_TAGS = tuple((n, re.compile(p)) for n, p in (("citation", r"\\cite"), ("reference", r"\\(eq)?ref\{"), ("label", r"\\label\{"), ("graphics", r"\\includegraphics")))
+ACADEMIC = (("introduction", "introduction|motivation"), ("related_work", "related work|background|literature"), ("methods", "method|approach|model"), ("results", "result|evaluation|experiment"), ("discussion", "discussion"), ("conclusion", "conclusion|summary|future work"))
+
+
+def environments(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of every environment: each ends at the first end of its name after it."""
+    ends: dict[str, list[int]] = {}
+    begins = []
+    for m in _ENDS.finditer(text):
+        if m.group(1) == "begin":
+            begins.append((m.start(), m.group(2)))
+        else:
+            ends.setdefault(m.group(2), []).append(m.end())
+    out = []
+    for a, name in begins:
+        own = ends.get(name, [])
+        k = bisect.bisect_right(own, a)
+        if k < len(own):
+            out.append((a, own[k], name))
+    return out
+
+
 def latex(text: str, cfg: Config) -> Iterator[Chunk]:
-    """Preamble, environments, displayed math, then sections and what is left between them; no line is used twice."""
-    taken: list[tuple[int, int]] = []
+    """Preamble, environments, displayed math, then sections and what is left between them; no line is used twice.
+
+    Each chunk names the one before it, and the section it is in: the nearest
+    earlier one, of a section the nearest of a lower level.
+    """
+    lines = Lines(text)
+    used = Coverage(len(lines.starts))
     out: list[Chunk] = []
 
     def add(kind: str, a: int, b: int, name: str, importance: float, tags: list[str]) -> None:
-        body = text[a:b].strip()
+        piece = text[a:b]
+        body = piece.strip()
         if not body:
             return
-        start = line_at(text, a + len(text[a:b]) - len(text[a:b].lstrip()))
+        start = lines.at(a + len(piece) - len(piece.lstrip()))
         end = start + body.count("\n")
-        if any(x <= end and start <= y for x, y in taken):
+        if used.meets(start, end):
             return
-        taken.append((start, end))
-        deps = [f"{k}:{v}" for k, v in re.findall(r"\\(cite[tp]?|ref|eqref|input|include|usepackage)(?:\[[^\]]*\])?\{([^}]*)\}", body)]
-        rules = (("citation", r"\\cite"), ("reference", r"\\(eq)?ref\{"), ("label", r"\\label\{"), ("graphics", r"\\includegraphics"))
-        out.append(Chunk(kind, body, start, end, name, importance, ["latex", *tags, *[n for n, p in rules if re.search(p, body)]], list(dict.fromkeys(deps))))
-
-    begin = re.search(r"\\begin\{document\}", text)
-    if begin and begin.start() > 0:
-        add("preamble", 0, begin.start(), "preamble", 0.7, ["preamble"])
+        used.add(start, end)
+        c = Chunk(kind, body, start, end, name, importance, ["latex", *tags], list(dict.fromkeys(f"{k}:{v}" for k, v in _LATEX_DEPS.findall(body))))
+        _latex_analysis(c)
+        out.append(c)
+
+    begin = text.find("\\begin{document}")
+    if begin > 0:
+        add("preamble", 0, begin, "preamble", 0.7, ["preamble"])
+    spans = [s for s in environments(text) if s[2] != "document"]
     for family, names in LATEX_FAMILIES.items():
-        for m in re.finditer(rf"\\begin\{{({names})(\*?)\}}.*?\\end\{{\1\2\}}", text, re.S):
-            add("environment", m.start(), m.end(), m.group(1), 0.8 if family in ("theorem", "math", "abstract") else 0.6, [family, m.group(1)])
-    for m in re.finditer(r"\\begin\{(\w+)(\*?)\}.*?\\end\{\1\2\}", text, re.S):
-        if m.group(1) != "document":
-            add("environment", m.start(), m.end(), m.group(1), 0.5, ["environment", m.group(1)])
-    for m in re.finditer(r"\$\$.+?\$\$|\\\[.+?\\\]", text, re.S):
+        at = 0
+        for a, b, name in spans:
+            if a >= at and re.fullmatch(names, name.rstrip("*")):
+                add("environment", a, b, name.rstrip("*"), 0.8 if family in ("theorem", "math", "abstract") else 0.6, [family, name.rstrip("*")])
+                at = b
+    at = 0
+    for a, b, name in spans:
+        if a >= at:
+            add("environment", a, b, name.rstrip("*"), 0.5, ["environment", name.rstrip("*")])
+            at = b
+    for m in _DISPLAY.finditer(text):
         add("math", m.start(), m.end(), "display", 0.7, ["math"])
-    heads = list(re.finditer(rf"\\({'|'.join(_LEVELS)})\*?\{{([^}}]*)\}}", text))
+    heads = list(_HEAD.finditer(text))
     for k, m in enumerate(heads):
         end = heads[k + 1].start() if k + 1 < len(heads) else len(text)
-        stop = m.end()
         # the section's own text ends where the first taken line begins
-        first = line_at(text, m.start())
-        lines = text[m.start() : end].split("\n")
-        free = next((j for j in range(len(lines)) if any(x <= first + j <= y for x, y in taken)), len(lines))
-        stop = m.start() + len("\n".join(lines[:free])) if free else stop
-        add("section", m.start(), stop, m.group(2)[:50], 1.0 - 0.1 * _LEVELS.index(m.group(1)), ["section", m.group(1)])
-    used = sorted(taken)
-    line, body_lines = (line_at(text, begin.end()) + 1 if begin else 1), text.split("\n")
-    for a, b in [*used, (len(body_lines) + 1, 0)]:
-        gap = "\n".join(body_lines[line - 1 : a - 1])
-        flat = gap.replace("\\end{document}", "").strip()
-        if a > line and len(flat) >= cfg.min_size:
-            out.append(Chunk("text_block", flat, line, a - 1, f"text_{line}", 0.4, ["latex", "gap"]))
-        line = max(line, b + 1)
-    previous = None
+        taken = used.next_used(lines.at(m.start()))
+        stop = min(end, lines.starts[taken - 1] if taken <= len(lines.starts) else len(text))
+        low = m.group(2).lower()
+        academic = [n for n, p in ACADEMIC if re.search(p, low)]
+        add("section", m.start(), max(stop, m.start() + 1) if stop > m.start() else m.end(), m.group(2)[:50], 1.0 - 0.1 * _LEVELS.index(m.group(1)), ["section", m.group(1), *academic])
+    head_line = lines.at(begin) + 1 if begin >= 0 else 1
+    for a, b in used.gaps():
+        a = max(a, head_line)
+        if b < a:
+            continue
+        last = lines.starts[b] if b < len(lines.starts) else len(text)
+        flat = text[lines.starts[a - 1] : last].replace("\\end{document}", "").strip()
+        if len(flat) >= cfg.min_size:
+            out.append(Chunk("text_block", flat, a, b, f"text_{a}", 0.4, ["latex", "gap"]))
+    previous, parents = None, {}
     for c in sorted(out, key=lambda c: c.start):
         if previous:
             c.deps.append(f"follows:{previous}")
         previous = f"{c.kind}_{c.start}"
+        level = _LEVELS.index(c.tags[2]) if c.kind == "section" else len(_LEVELS)
+        above = [parents[k] for k in parents if k < level]
+        if above:
+            c.meta["parent"] = max(above)[1]
+        if c.kind == "section":
+            parents = {k: v for k, v in parents.items() if k < level} | {level: (c.start, c.name)}
         yield c
 
 
+def _latex_analysis(c: Chunk) -> None:
+    """Counts of math, citations, references, labels, graphics, and the ten commonest commands."""
+    c.tags += [n for n, p in _LATEX_TAGS if p.search(c.content)]
+    commands = Counter(re.findall(r"\\([A-Za-z]+)", c.content))
+    c.meta |= {
+        "math": str(len(re.findall(r"(?<!\\)\$[^$]+\$", c.content))),
+        "citations": str(sum(n for k, n in commands.items() if k.startswith("cite"))),
+        "labels": str(commands["label"]),
+        "references": str(commands["ref"] + commands["eqref"]),
+        "graphics": str(commands["includegraphics"]),
+        "commands": ",".join(f"{k}:{n}" for k, n in sorted(commands.items(), key=lambda x: (-x[1], x[0]))[:10]),
+    }
+    if c.kind == "preamble":
+        c.meta |= {"packages": ",".join(p.strip() for x in re.findall(r"\\usepackage(?:\[[^\]]*\])?\{([^}]*)\}", c.content) for p in x.split(",")), "document_class": (re.findall(r"\\documentclass(?:\[[^\]]*\])?\{([^}]*)\}", c.content) or [""])[0]}
+
+
 # --- plain text -----------------------------------------------------------------------
 
 

@@ -1,4 +1,9 @@
-"""Similarity search of a stated query set against all rows, in blocks; class-wise edges."""
+"""Similarity search of a stated query set against all rows, in blocks; class-wise edges.
+
+Queries go to the executors in blocks of a fixed number of rows.  With more than
+one block, what each finds is written before the next is gathered, so the driver
+holds one block whatever the number of queries.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkweave.session import Scratch
+
 BLOCK_ROWS = 4096
 
 
-def _blocks(queries: DataFrame, key: str, block_rows: int) -> Iterator[list]:
-    """The queries in runs of about block_rows; no more than one run is on the driver at a time."""
+def _blocks(queries: DataFrame, key: str, block_rows: int) -> Iterator[tuple[list, bool]]:
+    """The queries in runs of about block_rows, and whether there are several."""
     n = queries.count()
     parts = max(1, -(-n // block_rows))
     for b in range(parts):
         rows = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == b).collect()
         if rows:
-            yield rows
+            yield rows, parts > 1
 
 
 def _union(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:
@@ -35,8 +42,8 @@ def cosine_search(spark: SparkSession, queries: DataFrame, data: DataFrame, thre
     Exact: every query meets every row.  Queries go to the executors in blocks
     of a fixed size; a zero or null vector is similar to nothing.
     """
-    schema, parts = "query_id long, id long, similarity double", []
-    for rows in _blocks(queries.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col), id_col, block_rows):
+    schema, parts, scratch = "query_id long, id long, similarity double", [], Scratch(spark, "search")
+    for rows, several in _blocks(queries.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col), id_col, block_rows):
         ids = np.array([r[0] for r in rows], np.int64)
         q = np.array([r[1] for r in rows], np.float64)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -54,7 +61,8 @@ def cosine_search(spark: SparkSession, queries: DataFrame, data: DataFrame, thre
                     i, j = i[keep], j[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[a + j]), pa.array(s[i, j])], names=["query_id", "id", "similarity"])
 
-        parts.append(data.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInArrow(run, schema))
+        found = data.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInArrow(run, schema)
+        parts.append(scratch.save(found, str(len(parts))) if several else found)
     return _union(spark, parts, schema)
 
 
@@ -64,8 +72,8 @@ def word_search(spark: SparkSession, queries: DataFrame, data: DataFrame, thresh
     Each row's words are looked up in an index of the block's words, so a pair
     without a common word costs nothing.  Ties go to the smaller id.
     """
-    schema, parts = "query_id long, id long, similarity double", []
-    for rows in _blocks(queries.select("id", "words"), "id", block_rows):
+    schema, parts, scratch = "query_id long, id long, similarity double", [], Scratch(spark, "search")
+    for rows, several in _blocks(queries.select("id", "words"), "id", block_rows):
         ids = [r[0] for r in rows]
         size = np.array([len(r[1]) for r in rows])
         index: dict[str, list[int]] = {}
@@ -87,7 +95,8 @@ def word_search(spark: SparkSession, queries: DataFrame, data: DataFrame, thresh
                 cols = list(zip(*out)) if out else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "id", "similarity"])
 
-        parts.append(data.select("id", "words").mapInArrow(run, schema))
+        met = data.select("id", "words").mapInArrow(run, schema)
+        parts.append(scratch.save(met, str(len(parts))) if several else met)
     found = _union(spark, parts, schema)
     ranked = found.withColumn("place", F.row_number().over(_by_score()))
     return ranked.filter(F.col("place") <= top)

@@ -224,7 +224,7 @@ _COMPLETE = f"case when {_AVG} between 5 and 30 then least(least({_SENT} / 5.0,
 _LINES_OF = f"(length(content) - length(replace(content, chr(10), '')) + 1)"
 _HEUR = f"least(1.0, 0.5 + case when {_words()} between 50 and 200 then 0.1 else 0.0 end + case when {_LINES_OF} between 5 and 50 then 0.1 else 0.0 end + case when regexp_matches(content, 'def |class |function |const ') then 0.1 else 0.0 end)"
 _SPLIT_AVG = f"({_words()} / cast(len(regexp_extract_all(content, '[.!?]+')) + 1 as double))"
-_TAGS = f"""[case when true then 'text_content' end, case when regexp_matches(content, '{G.EMAIL}') then 'contains_email' end, case when regexp_matches(content, 'https?://[^ \\t\\n\\r]+') then 'contains_url' end,
+_TAGS = f"""[case when true then 'text_content' end, case when regexp_matches(content, '{G.EMAIL_PLAIN}') then 'contains_email' end, case when regexp_matches(content, 'https?://[^ \\t\\n\\r]+') then 'contains_url' end,
   case when regexp_matches(content, '{G.FILE_PATH}') then 'contains_filepath' end, case when {_SPLIT_AVG} > 20 then 'complex_text' end, case when {_SPLIT_AVG} < 5 then 'simple_text' end,
   case when regexp_matches(lower(content), '{G.TECHNICAL}') then 'technical_content' end]"""
 _CLEAN = "regexp_replace(content, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.operators import segment as S
 from chunkweave.operators.chunkers import chunk_files
-from chunkweave.session import table
+from chunkweave.session import spread, table
 
 PYTHON = '''import os
 import sys
@@ -100,7 +100,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("suffix"), F.lit(v).alias("template")) for k, v in SOURCES.items()]))
     p = table(spark, sf_dir, "part").select("p_partkey", kinds.alias("s"))
     key = F.col("p_partkey").cast("string")
-    return p.select(F.concat(F.lit("part_"), key, F.lit("."), F.col("s.suffix")).alias("file_path"), F.replace(F.col("s.template"), F.lit("@@"), key).alias("content"))
+    made = p.select(F.concat(F.lit("part_"), key, F.lit("."), F.col("s.suffix")).alias("file_path"), F.replace(F.col("s.template"), F.lit("@@"), key).alias("content"))
+    return spread(made, table(spark, sf_dir, "part"))
 
 
 def q_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), 1, 200)
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
     d = table(spark, sf_dir, "documents")
     xml = F.concat(
         F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>'), "source", F.lit("</title><item><title>Document "), F.col("doc_id").cast("string"), F.lit("</title><description>"), plain,
@@ -157,7 +158,8 @@ _VALUES = ", ".join("(" + ", ".join("null" if x is None else str(x) if isinstanc
 ORACLE_SQL = {
     "chunk_formats": f"""with x(suffix, language, chunk_type, name, a, b) as (values {_VALUES})
 select 'part_' || p_partkey || '.' || suffix as file_path, language, chunk_type, replace(name, '@@', cast(p_partkey as varchar)) as identifier, cast(a as integer) as start_line, cast(b as integer) as end_line from part cross join x""",
-    "feed_items": """with d as (select doc_id, lang, trim(regexp_replace(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 1, 200), ' +', ' ', 'g')) as t from documents)
+    "feed_items": """with w as (select doc_id, lang, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) as flat from documents),
+d as (select doc_id, lang, case when length(flat) > 2000 then substr(flat, 1, 2000) || '...' else flat end as t from w)
 select 'feed_' || doc_id || '.rss' as file_path, 'Document ' || doc_id as identifier, md5('Title: Document ' || doc_id || chr(10) || 'Description: ' || t || chr(10) || 'Category: ' || lang) as content_hash from d
 where length('Title: Document ' || doc_id || chr(10) || 'Description: ' || t || chr(10) || 'Category: ' || lang) >= 50""",
     "chunk_jsonl": "select 'e_' || event_id || '.jsonl' as file_path, cast(k as integer) as start_line, props as content from events cross join (values (1), (3)) v(k)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,16 +40,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) is a private one made.
+    A local session that names none (tests, a laptop) gets a private one.  On a
+    cluster that is an error: a folder of one machine is not seen by the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="chunkweave-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="chunkweave-shared-")
+    return _LOCAL[app]
+
+
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has fewer splits than they are: for heavy work on few files.
+
+    A scan of enough splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if scan.rdd.getNumPartitions() < cores else df
 
 
 #: Rows of one Arrow batch where texts go to Python: a batch of whole texts stays a few MB.
