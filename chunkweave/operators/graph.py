@@ -67,16 +67,18 @@ def neighbours(spark: SparkSession, edges: DataFrame, starts: DataFrame, hops: i
     return seen.filter("distance > 0")
 
 
-def shortest_path(spark: SparkSession, edges: DataFrame, source: object, target: object, most: int = 20) -> DataFrame:
-    """step, id: nodes of one shortest directed path (the smallest predecessor at each step); empty if there is none."""
+def shortest_path(spark: SparkSession, edges: DataFrame, source: object, target: object, most: int | None = None) -> DataFrame:
+    """step, id: nodes of one shortest directed path (the smallest predecessor at each step); empty if there is none.
+
+    Goes on until the target is met or nothing new is; `most` steps where that is given.
+    """
     scratch = Scratch(spark, "path")
     step = scratch.save(directed(edges, "out"), "steps")
     empty = spark.createDataFrame([], "step int, id string")
     seen = scratch.save(spark.createDataFrame([(source, None, 0)], "id string, parent string, step int"), "hop-0")
-    front, found = seen, source == target
-    for k in range(1, most + 1):
-        if found:
-            break
+    front, found, k = seen, source == target, 0
+    while not found and (most is None or k < most):
+        k += 1
         reached = front.select(F.col("id").alias("src")).join(step, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         front = scratch.save(reached.join(seen.select("id"), "id", "left_anti").withColumn("step", F.lit(k)).select("id", "parent", "step"), f"hop-{k}")
         if front.isEmpty():
@@ -93,8 +95,13 @@ def shortest_path(spark: SparkSession, edges: DataFrame, source: object, target:
     return spark.createDataFrame(sorted(rows), "step int, id string")
 
 
-def page_rank(spark: SparkSession, edges: DataFrame, rounds: int = 20, damping: float = 0.85, nodes: DataFrame | None = None) -> DataFrame:
-    """id, rank after so many rounds; weights of parallel edges add up, dangling mass is spread evenly."""
+def page_rank(spark: SparkSession, edges: DataFrame, rounds: int = 100, damping: float = 0.85, nodes: DataFrame | None = None, tolerance: float | None = 1e-6) -> DataFrame:
+    """id, rank; weights of parallel edges add up, dangling mass is spread evenly.
+
+    Ends when the ranks of a round differ from those before by less than
+    tolerance * nodes in total, or after `rounds`; without a tolerance after
+    exactly as many.
+    """
     scratch = Scratch(spark, "rank")
     e = simple(edges)
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -103,15 +110,17 @@ def page_rank(spark: SparkSession, edges: DataFrame, rounds: int = 20, damping:
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    dangling = ids.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-    now = ids.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
+    dangling = scratch.save(ids.join(share.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "dangling")
+    now = scratch.save(ids.withColumn("rank", F.lit(1.0 / n)), "round-0")
+    for k in range(1, rounds + 1):
         lost = now.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         sent = now.join(share, now["id"] == share["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("sent"))
-        got = ids.join(sent, "id", "left").join(F.broadcast(lost))  # one row is broadcast
-        now = got.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 5 == 4:
-            now = scratch.save(now, f"round-{k}")
+        got = now.withColumnRenamed("rank", "was").join(sent, "id", "left").join(F.broadcast(lost))  # one row is broadcast
+        after = scratch.save(got.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("sent", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "was"), f"round-{k}")
+        scratch.drop(f"round-{k - 1}")
+        now = after.select("id", "rank")
+        if tolerance is not None and after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance * n:
+            break
     return now
 
 
@@ -153,14 +162,53 @@ def label_propagation(spark: SparkSession, edges: DataFrame, rounds: int = 5) ->
     return now
 
 
-def short_cycles(edges: DataFrame) -> DataFrame:
-    """cycle, length, severity: directed cycles of two and three nodes, each once (its smallest node first)."""
+def _ranked(edges: DataFrame) -> DataFrame:
+    """src, dst, rs, rd: simple edges with the rank of both ends, by degree and then id."""
     e = edges.filter("src <> dst").select("src", "dst").distinct()
-    a, b, c = (e.select(F.col("src").alias(f"s{k}"), F.col("dst").alias(f"d{k}")) for k in "abc")
-    two = a.join(b, (F.col("da") == F.col("sb")) & (F.col("db") == F.col("sa"))).filter("sa < da").select(F.concat_ws(">", "sa", "da").alias("cycle"), F.lit(2).alias("length"))
-    ab = a.join(b, (F.col("da") == F.col("sb")) & (F.col("db") != F.col("sa"))).filter("sa < da and sa < db")
-    three = ab.join(c, (F.col("db") == F.col("sc")) & (F.col("dc") == F.col("sa"))).select(F.concat_ws(">", "sa", "da", "db").alias("cycle"), F.lit(3).alias("length"))
-    return two.union(three).withColumn("severity", F.lit("high"))
+    ends = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id")))
+    rank = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.struct("n", "id").alias("r"))
+    led = e.join(rank.select(F.col("id").alias("src"), F.col("r").alias("rs")), "src")
+    return led.join(rank.select(F.col("id").alias("dst"), F.col("r").alias("rd")), "dst").select("src", "dst", "rs", "rd")
+
+
+def _named(paths: DataFrame) -> DataFrame:
+    """cycle, length, severity of closed paths: turned so that the smallest node comes first."""
+    low = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", low, F.size("path")), F.slice("path", F.lit(1), low - 1))
+    return paths.select(F.array_join(turned, ">").alias("cycle"), F.size("path").alias("length")).withColumn("severity", F.when(F.col("length") <= 3, "high").otherwise("medium"))
+
+
+def short_cycles(edges: DataFrame) -> DataFrame:
+    """cycle, length, severity: directed cycles of two and three nodes, each once (its smallest node first).
+
+    A cycle is found from its node of least degree, so a hub's neighbours are
+    never paired with each other.
+    """
+    return cycles(edges, 3)
+
+
+def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
+    """cycle, length, severity: simple directed cycles of two to `longest` nodes, each once (its smallest node first).
+
+    Cycles of up to three are of high severity, longer ones of medium.  Paths
+    grow from the node of least degree of their cycle.  How many there are can
+    grow exponentially with the length, which is why it is bounded.
+    """
+    e = _ranked(edges)
+    up = e.filter("rs < rd")
+    back = e.filter("rd < rs").select(F.col("src").alias("last"), F.col("dst").alias("start"))  # edges that close
+    now = up.select(F.col("src").alias("start"), F.col("rs").alias("low"), F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
+    step = e.select(F.col("src").alias("last"), F.col("dst").alias("next"), F.col("rd").alias("rank"))
+    found = None
+    for k in range(2, longest + 1):
+        part = _named(now.join(back, ["last", "start"]))
+        found = part if found is None else found.union(part)
+        if k < longest:
+            grown = now.join(step, "last").filter("rank > low and not array_contains(path, next)")
+            now = grown.select("start", "low", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last"))
+            if k == longest - 1:  # the last step only asks for what closes
+                now = now.join(back, ["last", "start"], "left_semi")
+    return found
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -264,6 +312,130 @@ def eigenvector(ids: list, edges: list, rounds: int = 100) -> dict:
     return x
 
 
+def eccentricity(ids: list, edges: list) -> dict:
+    """The greatest distance from each node, edges taken both ways; infinite where some node isn't reached."""
+    near: dict = {i: set() for i in ids}
+    for a, b, _ in edges:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for s in ids:
+        far, queue = {s: 0}, [s]
+        for v in queue:
+            for w in near[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    queue.append(w)
+        out[s] = float(max(far.values())) if len(far) == len(ids) else float("inf")
+    return out
+
+
+def diameter(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """One row: the diameter of a small connected graph; null if it isn't connected or has `most` nodes or more."""
+    far = gated(edges, eccentricity, "far", most).agg(F.max("far").alias("far"))
+    return far.select(F.when(F.col("far") < float("inf"), F.col("far").cast("int")).alias("diameter"))
+
+
+def _undirected(ids: list, edges: list) -> list[dict]:
+    """Neighbours with their weights, by the node's place in ids; loops and directions are left out."""
+    at = {i: k for k, i in enumerate(ids)}
+    near: list[dict] = [{} for _ in ids]
+    for a, b, w in edges:
+        if a != b:
+            x, y = at[a], at[b]
+            near[x][y] = near[x].get(y, 0.0) + w
+            near[y][x] = near[y].get(x, 0.0) + w
+    return near
+
+
+def louvain(ids: list, edges: list) -> dict:
+    """Communities by local moves and aggregation while modularity grows; named by their order of first node."""
+    near = _undirected(ids, edges)
+    loops = [0.0] * len(ids)
+    member = list(range(len(ids)))  # of the first graph's nodes, in the current graph
+    total = sum(map(lambda d: sum(d.values()), near)) or 1.0
+    while True:
+        degree = [sum(d.values()) + loops[k] for k, d in enumerate(near)]
+        home, weight, moved_any = list(range(len(near))), list(degree), False
+        while True:
+            moved = False
+            for k, d in enumerate(near):
+                to: dict[int, float] = {}
+                for j, w in d.items():
+                    to[home[j]] = to.get(home[j], 0.0) + w
+                own = home[k]
+                weight[own] -= degree[k]
+                best, gain = own, to.get(own, 0.0) - weight[own] * degree[k] / total
+                for c in sorted(to):
+                    g = to[c] - weight[c] * degree[k] / total
+                    if g > gain + 1e-12:
+                        best, gain = c, g
+                weight[best] += degree[k]
+                home[k] = best
+                moved |= best != own
+            if not moved:
+                break
+            moved_any = True
+        if not moved_any:
+            break
+        names = {c: n for n, c in enumerate(dict.fromkeys(home))}
+        home = [names[c] for c in home]
+        merged: list[dict] = [{} for _ in names]
+        inside = [0.0] * len(names)
+        for k, d in enumerate(near):
+            inside[home[k]] += loops[k]
+            for j, w in d.items():
+                if home[j] == home[k]:
+                    inside[home[k]] += w
+                else:
+                    merged[home[k]][home[j]] = merged[home[k]].get(home[j], 0.0) + w
+        near, loops = merged, inside
+        member = [home[m] for m in member]
+    order = {c: n for n, c in enumerate(dict.fromkeys(member))}
+    return {i: order[m] for i, m in zip(ids, member)}
+
+
+def greedy_modularity(ids: list, edges: list) -> dict:
+    """Communities by merging, again and again, the pair that raises modularity most; named by their order of first node."""
+    near = _undirected(ids, edges)
+    total = sum(sum(d.values()) for d in near) or 1.0
+    share = {k: sum(d.values()) / total for k, d in enumerate(near)}
+    between = {k: {j: w / total for j, w in d.items()} for k, d in enumerate(near)}
+    member = {k: k for k in share}
+    while True:
+        best = max(((2 * (w - share[a] * share[b]), -a, -b) for a, d in between.items() for b, w in d.items() if a < b), default=None)
+        if best is None or best[0] <= 1e-12:
+            break
+        a, b = -best[1], -best[2]
+        for j, w in between.pop(b).items():
+            between[j].pop(b)
+            if j != a:
+                between[a][j] = between[j][a] = between[a].get(j, 0.0) + w
+        share[a] += share.pop(b)
+        member = {k: a if m == b else m for k, m in member.items()}
+    order = {c: n for n, c in enumerate(dict.fromkeys(member[k] for k in range(len(ids))))}
+    return {i: order[member[k]] for k, i in enumerate(ids)}
+
+
+def communities(spark: SparkSession, edges: DataFrame, algorithm: str = "louvain", most: int = 10_000) -> DataFrame:
+    """id, community: by `louvain`, `greedy_modularity` (both in one task, no rows from `most` nodes on) or `label_propagation`."""
+    if algorithm == "label_propagation":
+        return label_propagation(spark, edges).withColumnRenamed("label", "community")
+    measure = {"louvain": louvain, "greedy_modularity": greedy_modularity}[algorithm]
+    return gated(edges, measure, "community", most).withColumn("community", F.col("community").cast("long"))
+
+
+def centralities(spark: SparkSession, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, measure, value: degrees, rank, and on small graphs betweenness, closeness and eigenvector centrality."""
+    own = nodes if nodes is not None else endpoints(edges)
+    d = degrees(own, edges)
+    long = lambda df, c: df.select("id", F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
+    out = long(d, "in_share").union(long(d, "out_share")).union(long(page_rank(spark, edges), "rank"))
+    for name, f, most in (("betweenness", betweenness, 1000), ("closeness", closeness, 500), ("eigenvector", eigenvector, 1000)):
+        out = out.union(long(gated(edges, f, name, most), name))
+    return out
+
+
 def metrics(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, components, average clustering."""
     n = nodes.agg(F.countDistinct("id").alias("n_nodes"))

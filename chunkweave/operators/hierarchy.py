@@ -150,3 +150,55 @@ def update_levels(before: DataFrame, chunks: DataFrame) -> DataFrame:
     return kept.union(rebuilt)
 
 
+
+
+def of_chunks(leaf_nodes: DataFrame, chunk_ids: DataFrame) -> DataFrame:
+    """chunk_id, node_id: the leaf whose source chunks hold each chunk (node_id, source_chunk_ids)."""
+    held = leaf_nodes.select("node_id", F.explode("source_chunk_ids").alias("chunk_id"))
+    return chunk_ids.select("chunk_id").distinct().join(held, "chunk_id").groupBy("chunk_id").agg(F.min("node_id").alias("node_id"))
+
+
+def context(nodes: DataFrame, starts: DataFrame, near: DataFrame, reach: DataFrame, most: int = 10) -> DataFrame:
+    """node_id, path, related, n_direct, n_reached, importance: what surrounds each start.
+
+    path: level, title, summary and five keywords of the node and its ancestors,
+    upwards; related: its first neighbours within two steps (near: start, id,
+    distance), `most` of them; reach: start, direct, transitive, rank.
+    """
+    from pyspark.sql import Window
+
+    from chunkweave.functions.classify import importance_band
+
+    about = nodes.select("node_id", F.struct("level", "title", "summary", F.slice("keywords", 1, 5).alias("keywords")).alias("about"))
+    up = paths_to_root(nodes, starts).join(about, "node_id").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("step", "about"))).alias("steps"))  # four rows a start
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("distance", "id"))).filter(F.col("place") <= most)
+    related = first.groupBy("start").agg(F.array_sort(F.collect_list("id")).alias("related"))
+    joined = up.join(related, "start", "left").join(reach.select("start", "direct", "transitive", "rank"), "start", "left")
+    return joined.select(
+        F.col("start").alias("node_id"), F.transform("steps", lambda s: s["about"]).alias("path"), F.coalesce("related", F.array().cast("array<string>")).alias("related"),
+        F.coalesce("direct", F.lit(0)).alias("n_direct"), F.coalesce(F.col("direct") + F.col("transitive"), F.lit(0)).alias("n_reached"), importance_band(F.coalesce("rank", F.lit(0.0))).alias("importance"),
+    )
+
+
+def export_summary(nodes: DataFrame) -> DataFrame:
+    """Per level: nodes, mean quality, and title, shortened summary and five keywords of its first node."""
+    short = F.when(F.length("summary") > 200, F.concat(F.substring("summary", 1, 200), F.lit("..."))).otherwise(F.coalesce("summary", F.lit("")))
+    sample = F.struct("title", short.alias("summary"), F.slice("keywords", 1, 5).alias("keywords"))
+    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.avg("quality").alias("quality"), F.min_by(sample, "node_id").alias("sample"))
+
+
+def scalability(stats: DataFrame) -> DataFrame:
+    """One row: the share of level ratios that lie in 5 to 20 (1 where there is one level)."""
+    b = balance(stats)
+    return b.agg(F.coalesce(F.avg(F.col("balanced").cast("double")), F.lit(1.0)).alias("scalability"))
+
+
+def part_of_edges(nodes: DataFrame) -> DataFrame:
+    """src, dst: each leaf and the node above it, as edges for the property graph."""
+    return nodes.filter("level = 0 and parent_id is not null").select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
+
+
+def common_keywords(nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """keyword, n: the most frequent keywords of nodes, the smaller first on a tie."""
+    k = nodes.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    return k.orderBy(F.desc("n"), "keyword").limit(limit)

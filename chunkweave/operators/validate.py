@@ -19,3 +19,16 @@ def defects(chunks: DataFrame) -> DataFrame:
     )
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))
     return chunks.select("chunk_id", F.explode(found).alias("defect"))
+
+
+def node_defects(nodes: DataFrame) -> DataFrame:
+    """node_id, defect of hierarchy nodes (node_id, level, content, summary, child_ids)."""
+    none = F.coalesce(F.size("child_ids"), F.lit(0)) == 0
+    rules = (
+        (F.col("level") < 0, "negative level"),
+        (is_blank(F.coalesce("content", F.lit(""))) & is_blank(F.coalesce("summary", F.lit(""))), "no content or summary"),
+        ((F.col("level") > 0) & none, "inner node without children"),
+        ((F.col("level") == 0) & ~none, "leaf with children"),
+    )
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))
+    return nodes.select("node_id", F.explode(found).alias("defect"))

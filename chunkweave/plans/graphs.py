@@ -70,7 +70,8 @@ def q_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger chunks of a file around smaller ones; the edge runs from the inner to the outer."""
     small = chunk_table(spark, sf_dir).select("file_path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
     large = S.fixed_lines(files(spark, sf_dir), 50).select("file_path", F.col("start_line").alias("x"), F.col("end_line").alias("y"))
-    met = small.join(large, "file_path").filter("x < a and y >= b")
+    # large chunks have 50 lines each, so only the one in which a chunk begins can hold it
+    met = small.withColumn("x", (F.floor((F.col("a") - 1) / 50) * 50 + 1).cast("int")).join(large, ["file_path", "x"]).filter("x < a and y >= b")
     return met.select("file_path", F.col("a").alias("inner_start"), F.col("x").alias("outer_start"))
 
 
@@ -160,7 +161,7 @@ def q_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = J.page_rank(spark, moves(spark, sf_dir), 20)
+    r = J.page_rank(spark, moves(spark, sf_dir), 20, tolerance=None)
     return r.select("id", F.round("rank", 6).alias("rank"), C.importance_band(F.col("rank")).alias("band"))
 
 
@@ -188,8 +189,9 @@ def q_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links between vectors: every row is a query."""
     v = table(spark, sf_dir, "embeddings")
-    return M.cosine_search(spark, v.filter("vec_id % 50 = 0"), v, 0.3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("similarity").alias("weight"))
+    return M.cosine_search(spark, v, v, 0.3).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("similarity").alias("weight"))
 
 
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,8 +218,8 @@ def q_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average quality by module, by level, by both kinds of rows, and overall."""
     c = F.col("content")
     rows = files(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("module", "language", (T.readability(c) * F.col("quality")).alias("score"))
-    rows.createOrReplaceTempView("chunkweave_trends")
-    return spark.sql("select module, language, round(avg(score), 6) as average, count(*) as n from chunkweave_trends group by grouping sets ((module), (language), ())")
+    sets = rows.groupingSets([["module"], ["language"], []], "module", "language")
+    return sets.agg(F.round(F.avg("score"), 6).alias("average"), F.count(F.lit(1)).alias("n"))
 
 
 def q_god(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,14 +248,16 @@ QUERIES = {
     "clustering": q_clustering, "quality_trends": q_trends, "refactor_god": q_god, "refactor_long": q_long, "dup_content": q_duplicates,
 }
 
-_NEAR_SQL = "e as (select a.vec_id as src, b.vec_id as dst, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as weight from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3)"
+_LINKS_SQL = "e as (select a.vec_id as src, b.vec_id as dst, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as weight from embeddings a join embeddings b on a.vec_id <> b.vec_id where {} list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3)"
+_NEAR_SQL = _LINKS_SQL.format("")
+_SEARCH_SQL = _LINKS_SQL.format("a.vec_id % 50 = 0 and")
 _FAN_SQL = f"{SUPPLY_SQL}, f as (select id, (select count(*) from e where dst = id) as fan_in, (select count(*) from e where src = id) as fan_out from n)"
 _SPOTS = "['presentation', 'business', 'data', 'utility', 'other']"
 _LAYERS_SQL = f"{SUPPLY_SQL}, y as (select 's' || s_suppkey as id, {_SPOTS}[s_nationkey % 5 + 1] as layer from supplier union all select 'p' || p_partkey, {_SPOTS}[p_size % 5 + 1] from part), x as (select coalesce(a.layer, 'unknown') as source_layer, coalesce(b.layer, 'unknown') as target_layer, count(*) as n from e left join y a on a.id = src left join y b on b.id = dst group by all)"
 _CC_SQL = """u as (select src as a, dst as b from e union select dst, src from e), r as (select a as id, a as c from u union select b.b, r.c from r join u b on b.a = r.id where r.c < b.b), comp as (select id, min(c) as component from r group by id)"""
 
 ORACLE_SQL = {
-    "semantic_edges": f"with {_NEAR_SQL} select src as query_id, dst as id, round(weight, 6) as similarity from e",
+    "semantic_edges": f"with {_SEARCH_SQL} select src as query_id, dst as id, round(weight, 6) as similarity from e",
     "quality_edges": f"with {FILES_SQL}, b as (select doc_id, cast(floor(round(((({_READ}) + ({_HEUR}))::double / 2) * 10, 6)) as integer) as bucket from files) select doc_id, bucket, min(doc_id) over (partition by bucket) as class_id, count(*) over (partition by bucket) - 1 as n_links from b",
     "pattern_edges": f"""with {FILES_SQL}, t as (select * from (select doc_id, unnest({_TAGS}) as pattern, doc_id % 50 + 50 as s from files) where pattern is not null), h as (select pattern, s, count(*) as n from t group by all)
 select doc_id, pattern, cast(coalesce((select sum(n) from h where h.pattern = t.pattern and h.s + t.s >= 150), 0) - case when 2 * s >= 150 then 1 else 0 end as bigint) as n_links from t""",

@@ -89,8 +89,8 @@ def q_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a file within two steps of each other."""
     c = chunk_table(spark, sf_dir).select("file_path", "chunk_no", "chunk_id")
-    n = c.select("file_path", F.col("chunk_no").alias("k"), F.col("chunk_id").alias("near"))
-    return c.join(n, "file_path").filter("chunk_no <> k and abs(chunk_no - k) <= 2").select("chunk_id", "near")
+    wanted = c.select("chunk_id", "file_path", F.explode(F.array(*[F.col("chunk_no") + d for d in (-2, -1, 1, 2)])).alias("k"))
+    return wanted.join(c.select("file_path", F.col("chunk_no").alias("k"), F.col("chunk_id").alias("near")), ["file_path", "k"]).select("chunk_id", "near")
 
 
 def q_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,22 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return head.union(n).union(e).union(tail)
 
 
+def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines of a GEXF document (value, in order of `part`), for the text sink; edges carry their weight."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    rows = [(0, '<?xml version="1.0"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>'), (2, "</nodes><edges>"), (4, "</edges></graph></gexf>")]
+    frame = nodes.sparkSession.createDataFrame(rows, "part int, value string")
+    n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), esc("id"), F.lit('" label="'), esc("id"), F.lit('"/>')).alias("value"))
+    key = F.concat(esc("src"), F.lit("-"), esc("dst"))
+    e = edges.select(F.lit(3).alias("part"), F.concat(F.lit('<edge id="'), key, F.lit('" source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('" weight="'), F.col("weight").cast("string"), F.lit('"/>')).alias("value"))
+    return frame.union(n).union(e)
+
+
+def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The dict form: a JSON text per node and per edge, with its kind."""
+    return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("json")).union(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("*")).alias("json")))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """src and a map of its targets to weights (dict-of-dicts form; a row per source)."""
     return edges.groupBy("src").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("dst", "weight")))).alias("targets"))
@@ -99,9 +115,19 @@ def load_config(text: str, defaults: dict) -> dict:
         return merge_configs(defaults, json.loads(text))
     except ValueError:
         pass
+    try:
+        import yaml
+
+        found = yaml.safe_load(text)
+        return merge_configs(defaults, found if isinstance(found, dict) else {})
+    except ImportError:
+        pass  # the simple reader below
+    except yaml.YAMLError:
+        return dict(defaults)
     root: dict = {}
     stack: list[tuple[int, object]] = [(-1, root)]
-    for raw in text.splitlines():
+    lines = text.splitlines()
+    for k, raw in enumerate(lines):
         line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
         if not line.strip():
             continue
@@ -118,7 +144,7 @@ def load_config(text: str, defaults: dict) -> dict:
         if value.strip():
             holder[key.strip()] = _scalar(value.strip())
             continue
-        following = text.splitlines()[text.splitlines().index(raw) + 1 :]
+        following = lines[k + 1 :]
         nxt = next((x.strip() for x in following if x.strip() and not x.strip().startswith("#")), "")
         holder[key.strip()] = [] if nxt.startswith("- ") else {}
         stack.append((depth, holder[key.strip()]))
