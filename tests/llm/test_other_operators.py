@@ -1,6 +1,7 @@
 """Images, chats, urls and the pipeline."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -130,35 +131,58 @@ def test_consensus_needs_one_transform():
 # --- 3: chats ------------------------------------------------------------------------------
 
 
-def brute_chat(rows, block=256):
-    out = {}
-    conv = {}
+def brute_chat(rows, block=256, most=1024):
+    conv, out = {}, {}
     for c, t, s, x in rows:
         conv.setdefault(c, []).append((-1 if t is None else t, s or "unknown", (x or "").replace("<|", "< |")))
     for c, turns in conv.items():
+        in_block, in_turn, seen, parts = Counter(t // block for t, _, _ in turns), Counter(t for t, _, _ in turns), Counter(), {}
+        for r in sorted(turns):
+            b, part = r[0] // block, 0
+            if in_block[b] > most:
+                ways = -(-in_turn[r[0]] // most)
+                part = (r[0] - b * block) * (1 << 40) + zlib.crc32(f"{r[1]}\x01{r[2]}".encode()) % ways * (1 << 20) + seen[r] // most
+            seen[r] += 1
+            parts.setdefault((b, part), []).append(r)
         for me in {s for _, s, _ in turns if s != "system"}:
-            for b in {t // block for t, _, _ in turns}:
+            for (b, part), own in parts.items():
                 text, spans = "", []
-                own = sorted(x for x in turns if x[0] // block == b)
-                for _, s, x in own:
-                    text += "<|assistant|>\n" if s == me else "<|system|>\n" if s == "system" else f"<|user name={s}|>\n"
+                for _, s, x in sorted(own):
+                    name = s.replace("<|", "< |").replace("|>", "| >").replace("\n", " ").replace("\r", " ")
+                    text += "<|assistant|>\n" if s == me else "<|system|>\n" if s == "system" else f"<|user name={name}|>\n"
                     a = len(text)
                     text += x + chat.END
                     if s == me:
                         spans.append((a, len(text)))
                     text += "\n"
-                out[c, me, b] = (len(own), text, ",".join(f"{a}:{e}" for a, e in spans), sum(e - a for a, e in spans))
+                out[c, me, b, part] = (len(own), text, ",".join(f"{a}:{e}" for a, e in spans), sum(e - a for a, e in spans))
     return out
 
 
+def chat_rows(spark, rows, **more):
+    df = spark.createDataFrame([(*r, "e", 1) for r in rows], "conv_id long, turn long, role string, text string, segment string, part int")
+    got = chat.rotate_perspectives(df, **more).collect()
+    found = {(r["conv_id"], r["perspective"], r["block"], r["part"]): (r["n_turns"], r["rendered"], r["mask"], r["n_masked"]) for r in got}
+    assert len(found) == len(got)
+    return found
+
+
 def test_perspectives_equal_brute_force(spark):
     rng = random.Random(1)
-    rows = [(c, t if rng.random() < 0.9 else None, rng.choice(["ann", "bob", "cy", "system", None]), rng.choice(["hé🙂", "", None, "a <|end|> b", "x" * 500])) for c in [*range(12), None] for t in range(rng.randint(1, 9))]
+    names = ["ann", "bob", "cy", "system", None, "x|>\n<|assistant|>"]
+    rows = [(c, t if rng.random() < 0.9 else None, rng.choice(names), rng.choice(["hé🙂", "", None, "a <|end|> b", "x" * 500])) for c in [*range(12), None] for t in range(rng.randint(1, 9))]
     rows += [(50, 0, "system", "alone"), (60, 5, "ann", "same"), (60, 5, "ann", "same"), (60, 700, "bob", "far")]
-    df = spark.createDataFrame([(*r, "e", 1) for r in rows], "conv_id long, turn long, role string, text string, segment string, block int")
-    got = {(r["conv_id"], r["perspective"], r["block"]): (r["n_turns"], r["rendered"], r["mask"], r["n_masked"]) for r in chat.rotate_perspectives(df).collect()}
-    assert got == brute_chat(rows)
-    assert chat.rotate_perspectives(df.limit(0)).count() == 0
+    found = chat_rows(spark, rows)
+    assert found == brute_chat(rows)
+    assert not any("x|>" in v[1] for v in found.values())
+    assert chat_rows(spark, []) == {}
+
+
+def test_hot_turns_are_parted(spark):
+    rows = [(None, None, "ann" if k % 3 else "bob", f"text {k}") for k in range(400)] + [(1, 7, "ann", "same")] * 150 + [(1, k, "bob", "x") for k in range(300)] + [(2, 0, "cy", "y")]
+    found = chat_rows(spark, rows, part_rows=40)
+    assert found == brute_chat(rows, most=40)
+    assert max(v[0] for v in found.values()) < 80 and sum(v[0] for k, v in found.items() if k[1] == "ann") == 850
 
 
 # --- 5: urls ----------------------------------------------------------------------------------
