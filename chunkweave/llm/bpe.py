@@ -5,7 +5,8 @@ of the pair that starts at live position i, with the position as tie-break, so
 the root is the leftmost pair of minimum rank.  A merge removes one position
 and changes the pairs of its two live neighbours: three point updates of
 logarithmic cost.  Pieces of one batch are merged in step, each in its own
-tree, on arrays that hold the trees of all pieces of one size class.
+tree, on arrays that hold the trees of all pieces of one size class; a few
+pieces, as a single very long one, are merged one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from chunkweave.session import small_batches
 NONE = np.int64(1 << 62)
 BATCH_CELLS = 1 << 21
 CACHE_WORDS = 200_000
+FEW = 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,6 +98,10 @@ class SegmentTreeBpe:
         for k, p in enumerate(pieces):
             classes.setdefault(max(1, (len(p) - 1).bit_length()), []).append(k)
         for bits, members in classes.items():
+            if len(members) < FEW:
+                for k in members:
+                    out[k] = self._merge_one(pieces[k], 1 << bits)
+                continue
             step = max(1, BATCH_CELLS >> bits)
             for a in range(0, len(members), step):
                 some = members[a : a + step]
@@ -103,6 +109,52 @@ class SegmentTreeBpe:
                     out[k] = ids
         return out
 
+    def _merge_one(self, piece: bytes, width: int) -> np.ndarray:
+        """The same on plain lists: an array call costs more than a merge of one piece."""
+        none, rank_of, words = int(NONE), self.ranks.get, self.words
+        n = len(piece)
+        token = [int(t) for t in self._byte[np.frombuffer(piece, np.uint8)]]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        held = [words[t] for t in token]
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            r = rank_of(held[i] + held[i + 1])
+            if r is not None:
+                tree[width + i] = r * width + i
+        for k in range(width - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
+
+        def put(i: int, value: int) -> None:
+            k = width + i
+            tree[k] = value
+            k >>= 1
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                low = a if a < b else b
+                if tree[k] == low:
+                    return
+                tree[k] = low
+                k >>= 1
+
+        while tree[1] < none:
+            rank, i = divmod(tree[1], width)
+            j = after[i]
+            k = after[j]
+            token[i], token[j], held[i] = rank, -1, words[rank]
+            after[i] = k
+            put(j, none)
+            r = None
+            if k < n:
+                before[k] = i
+                r = rank_of(held[i] + held[k])
+            put(i, none if r is None else r * width + i)
+            h = before[i]
+            if h >= 0:
+                r = rank_of(held[h] + held[i])
+                put(h, none if r is None else r * width + h)
+        return np.array([t for t in token if t >= 0], np.uint32)
+
     def _merge_class(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
         n = len(pieces)
         size = np.array([len(p) for p in pieces])

@@ -181,6 +181,28 @@ def test_segment_tree_equals_tiktoken():
         assert b"".join(words[i] for i in ids.tolist()) == text.encode()
 
 
+def test_both_ways_to_merge_agree(monkeypatch):
+    encoder = bpe.SegmentTreeBpe(bpe.read_ranks(RANKS))
+    rng = random.Random(12)
+    pieces = [bytes(rng.choice(b"thein gabc\xc3\xa9\xe8") for _ in range(rng.randint(2, 70))) for _ in range(400)]
+    one = [encoder._merge_one(p, 1 << max(1, (len(p) - 1).bit_length())).tolist() for p in pieces]
+    monkeypatch.setattr(bpe, "FEW", 0)
+    assert [x.tolist() for x in encoder.merge(pieces)] == one
+
+
+def test_a_very_long_piece():
+    import time
+
+    import tiktoken
+
+    ranks = bpe.read_ranks(RANKS)
+    enc = tiktoken.Encoding("m", pat_str=tokens.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    text = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    begun = time.perf_counter()
+    assert bpe.coder(RANKS)[0].backend.ids(text).tolist() == enc.encode_ordinary(text)
+    assert time.perf_counter() - begun < 30
+
+
 def test_round_trip_hard_rows(spark):
     import tiktoken
 
