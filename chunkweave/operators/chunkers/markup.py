@@ -85,7 +85,8 @@ def html(text: str, cfg: Config) -> Iterator[Chunk]:
 def json(text: str, cfg: Config) -> Iterator[Chunk]:
     """The top value as one chunk; JSON lines as one chunk per line."""
     lines = [(k + 1, x) for k, x in enumerate(text.split("\n")) if x.strip()]
-    values = [(1, text.count("\n") + 1, text.strip())]
+    first = text[: len(text) - len(text.lstrip())].count("\n") + 1
+    values = [(first, first + text.strip().count("\n"), text.strip())]
     try:
         jsonlib.loads(text)
     except ValueError:

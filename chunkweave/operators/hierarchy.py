@@ -152,6 +152,20 @@ def update_levels(before: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 
+def update_tree(before1: DataFrame, before2: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Levels 1 to 3 after a change, bottom up: only files with changed chunks, and modules with changed files, are built anew.
+
+    before1, before2: the file and module nodes of the old tree; chunks: all now.
+    """
+    level1 = update_levels(before1, chunks)
+    digest = level1.groupBy("module").agg(_merkle().alias("new_hash"))
+    dirty = digest.join(before2.select("module", "hash"), "module", "left").filter(~F.col("new_hash").eqNullSafe(F.col("hash"))).select("module")
+    rebuilt = modules_level(level1.join(dirty, "module", "left_semi"))
+    kept = before2.join(digest.select("module"), "module", "left_semi").join(dirty, "module", "left_anti").select(rebuilt.columns)
+    level2 = kept.union(rebuilt)
+    return level1, level2, repository_level(level2)
+
+
 def of_chunks(leaf_nodes: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """chunk_id, node_id: the leaf whose source chunks hold each chunk (node_id, source_chunk_ids)."""
     held = leaf_nodes.select("node_id", F.explode("source_chunk_ids").alias("chunk_id"))

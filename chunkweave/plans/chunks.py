@@ -31,7 +31,11 @@ LINES = 10
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that the graph, hierarchy and search queries work on."""
-    c = S.fixed_lines(files(spark, sf_dir), LINES)
+    return as_chunks(files(spark, sf_dir))
+
+
+def as_chunks(f: DataFrame) -> DataFrame:
+    c = S.fixed_lines(f, LINES)
     return c.select(
         "file_path", "doc_id", "module", "language", "chunk_no", "start_line", "end_line", "content",
         T.chunk_id(F.col("file_path"), F.lit("text_block"), F.concat(F.lit("b"), F.col("chunk_no").cast("string")), F.col("start_line")).alias("chunk_id"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chunkweave.operators import segment as S
 from chunkweave.operators.chunkers import chunk_files
+from chunkweave.operators.chunkers.base import Config
+from chunkweave.operators.chunkers.markup import SEMANTIC
 from chunkweave.session import spread, table
 
 PYTHON = '''import os
@@ -92,7 +94,15 @@ LOG = """2024-01-01 10:00:00 part @@ was taken from the shelf by a user
   and it was given to the next one
 2024-01-01 10:05:00 part @@ was put back on the shelf by the user
 """
-SOURCES = {"py": PYTHON, "rs": RUST, "js": JAVASCRIPT, "css": CSS, "md": MARKDOWN, "tex": LATEX, "xml": XML, "log": LOG}
+HTML = """<html><body>
+<h1 id="top@@">Part @@</h1>
+<div class="card wide"><p>The part is described in this paragraph, which is long enough.</p>
+<ul><li>one of the uses of the part</li><li>another <a href="/p/@@">use</a> of it</li></ul></div>
+</body></html>
+"""
+JSON = """{"id": @@, "name": "part @@", "uses": ["shelf", "store"], "note": "kept in the second store of the house"}
+"""
+SOURCES = {"html": HTML, "json": JSON, "py": PYTHON, "rs": RUST, "js": JAVASCRIPT, "css": CSS, "md": MARKDOWN, "tex": LATEX, "xml": XML, "log": LOG}
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +123,13 @@ def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_files(pages).select("chunk_id", "file_path", "chunk_type", "identifier", "start_line", "end_line", "importance", F.size("tags").alias("n_tags"))
 
 
+def q_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of each kind each page gives, of any size."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"))
+    found = chunk_files(pages, Config(min_size=0)).filter("chunk_type = 'html_element'")
+    return found.groupBy("file_path", F.col("tags")[1].alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
+
+
 def _rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
     d = table(spark, sf_dir, "documents")
@@ -141,7 +158,7 @@ def q_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.headings(talk).select("file_path", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_hash"))
 
 
-QUERIES = {"chunk_formats": q_formats, "html_chunks": q_html, "feed_items": q_feed, "chunk_jsonl": q_jsonl, "chunk_headings": q_headings}
+QUERIES = {"chunk_formats": q_formats, "html_chunks": q_html, "html_elements": q_html_elements, "feed_items": q_feed, "chunk_jsonl": q_jsonl, "chunk_headings": q_headings}
 
 #: suffix, language, chunk type, identifier, first and last line: written down from the templates.
 EXPECTED = (
@@ -152,6 +169,8 @@ EXPECTED = (
     ("md", "markdown", "heading", "Part @@", 1, 12), ("md", "markdown", "paragraph", "paragraph_3", 3, 3), ("md", "markdown", "heading", "Use", 5, 12), ("md", "markdown", "list", "list_7", 7, 8),
     ("tex", "latex", "section", "Part @@", 4, 5), ("tex", "latex", "environment", "equation", 6, 8),
     ("xml", "xml", "xml_element", "catalog", 1, 1),
+    ("html", "html", "html_element", "top@@", 2, 2), ("html", "html", "html_element", "card", 3, 4), ("html", "html", "html_element", "p", 3, 3), ("html", "html", "html_element", "ul", 4, 4),
+    ("json", "json", "json_object", None, 1, 1),
     ("log", "text", "text_block", "log_entry_1", 1, 2), ("log", "text", "text_block", "log_entry_3", 3, 4),
 )
 _VALUES = ", ".join("(" + ", ".join("null" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in EXPECTED)
@@ -162,6 +181,9 @@ select 'part_' || p_partkey || '.' || suffix as file_path, language, chunk_type,
 d as (select doc_id, lang, case when length(flat) > 2000 then substr(flat, 1, 2000) || '...' else flat end as t from w)
 select 'feed_' || doc_id || '.rss' as file_path, 'Document ' || doc_id as identifier, md5('Title: Document ' || doc_id || chr(10) || 'Description: ' || t || chr(10) || 'Category: ' || lang) as content_hash from d
 where length('Title: Document ' || doc_id || chr(10) || 'Description: ' || t || chr(10) || 'Category: ' || lang) >= 50""",
+    "html_elements": f"""with t as (select page_id, html, unnest([{', '.join(repr(x) for x in sorted(SEMANTIC))}]) as tag from pages where html is not null),
+m as (select page_id, html, tag, regexp_extract_all(html, '<' || tag || '[ >]') as hits, regexp_extract(html, '^((?s:.*?))<' || tag || '[ >]', 1) as head from t)
+select 'page_' || page_id || '.html' as file_path, tag, cast(len(hits) as bigint) as n, cast(length(head) - length(replace(head, chr(10), '')) + 1 as integer) as first_line from m where len(hits) > 0""",
     "chunk_jsonl": "select 'e_' || event_id || '.jsonl' as file_path, cast(k as integer) as start_line, props as content from events cross join (values (1), (3)) v(k)",
     "chunk_headings": """select 'talk_' || conv_id || '_' || turn || '.md' as file_path, cast(1 as integer) as start_line, cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2 as integer) as end_line, md5('# Turn of ' || role || chr(10) || coalesce(text, '')) as content_hash from conversations
 union all select 'talk_' || conv_id || '_' || turn || '.md', cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 3 as integer), cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 4 as integer), md5('## End' || chr(10) || 'of the turn') from conversations""",

@@ -11,7 +11,7 @@ from chunkweave.operators import hierarchy as H
 from chunkweave.operators import incremental as I
 from chunkweave.operators import search as L
 from chunkweave.operators import validate as V
-from chunkweave.plans.chunks import CHUNKS_SQL, FILES_SQL, _COMPLETE, _READ, _TAGS, _words, chunk_table, files
+from chunkweave.plans.chunks import CHUNKS_SQL, FILES_SQL, _COMPLETE, _READ, _TAGS, _words, as_chunks, chunk_table, files
 from chunkweave.session import table
 
 
@@ -86,6 +86,29 @@ def q_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.general_search(dict(enumerate(_levels(spark, sf_dir))), "text content of modules", 10, 900)
 
 
+def q_architectural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question that no module answers: the repository does."""
+    l0, l1, l2 = _levels(spark, sf_dir)
+    top = H.repository_level(H.modules_level(l1)).withColumn("content", F.lit(""))
+    kind, found = L.intelligent_search({0: l0, 1: l1, 2: l2, 3: top}, chunk_table(spark, sf_dir), _links(spark, sf_dir), "repository overview", 5)
+    return found.select(F.lit(kind).alias("kind"), "level", "node_id", F.round("score", 6).alias("score"))
+
+
+def q_implementation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files for a question, drilled down to chunks, and the best chunks that fit the budget."""
+    levels = dict(enumerate(_levels(spark, sf_dir)))
+    return L.implementation_search(levels, "show the text of doc_1", 8, 300).select("node_id", F.round("score", 6).alias("score"))
+
+
+def q_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree after documents were added, removed and edited, brought up to date from the tree before."""
+    before, after = _mutated(spark, sf_dir)
+    old1 = H.files_level(H.leaves(as_chunks(before)))
+    l1, l2, l3 = H.update_tree(old1, H.modules_level(old1), as_chunks(after))
+    part = lambda d: d.select("level", "node_id", "members", "summary", F.round("quality", 6).alias("quality"))
+    return part(l1).union(part(l2)).union(part(l3))
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a file within two steps of each other."""
     c = chunk_table(spark, sf_dir).select("file_path", "chunk_no", "chunk_id")
@@ -144,7 +167,7 @@ def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "hierarchy_files": q_files, "hierarchy_modules": q_modules, "hierarchy_repo": q_repo, "hierarchy_stats": q_stats, "hierarchy_balance": q_balance, "hierarchy_path": q_path, "hierarchy_subtree": q_subtree,
-    "search_substring": q_substring, "search_level": q_level, "search_drilldown": q_drill, "search_budget": q_budget, "search_general": q_general, "search_relationship": q_relationship,
+    "search_substring": q_substring, "search_level": q_level, "search_drilldown": q_drill, "search_budget": q_budget, "search_general": q_general, "search_relationship": q_relationship, "search_architectural": q_architectural, "search_implementation": q_implementation, "hierarchy_update": q_update,
     "snapshot_diff": q_diff, "change_propagation": q_propagation, "snapshot_versions": q_versions, "validate_chunks": q_validate,
 }
 
@@ -175,7 +198,29 @@ _AFTER = f"""{FILES_SQL}, after as (select file_path, module, case when doc_id %
   union all select 'src/' || module || '/doc_' || (doc_id + 1000000000) || '.txt', module, content from files where doc_id % 10 = 5),
 diff as (select coalesce(b.file_path, a.file_path) as file_path, case when b.file_path is null then 'added' when a.file_path is null then 'removed' when a.content <> b.content then 'modified' end as change from files b full join after a on a.file_path = b.file_path)"""
 
+_AFTER_FILES = FILES_SQL.replace("files as", "old as", 1) + """, files as (select file_path, doc_id, module, language, case when doc_id % 10 = 3 then content || chr(10) || 'edited' else content end as content from old where doc_id % 10 <> 4
+  union all select 'src/' || module || '/doc_' || (doc_id + 1000000000) || '.txt', doc_id + 1000000000, module, language, content from old where doc_id % 10 = 5)"""
+_QUESTION = "text content of modules"
+_SHOW = "show the text of doc_1"
+_TEXT2 = "concat_ws(chr(10), title, summary, array_to_string(keywords, ', '))"
+
 ORACLE_SQL = {
+    "search_general": f"""with recursive {_TREE}, q1 as (select node_id, {_HEAD.format(n=500)} as content, row_number() over (order by score desc, node_id) as k from (select node_id, content, {_score(_TEXT1, _QUESTION)} as score from l1) where score > 0),
+q2 as (select node_id, '' as content, row_number() over (order by score desc, node_id) as k from (select node_id, {_score(_TEXT2, _QUESTION)} as score from l2) where score > 0),
+q0 as (select node_id, {_HEAD.format(n=500)} as content, row_number() over (order by score desc, node_id) as k from (select node_id, content, {_score(_TEXT0, _QUESTION)} as score from l0) where score > 0),
+u as (select 1 as stage, 0 as least, node_id, content, k from q1 where k <= 5 union all select 2, 500, node_id, content, k from q2 where k <= 3 union all select 3, 300, node_id, content, k from q0 where k <= 5),
+t as (select stage, least, node_id, {_words()} as tokens, row_number() over (order by stage, k) as n from u),
+f as (select cast(0 as bigint) as n, 0 as stage, cast(null as varchar) as node_id, cast(0 as bigint) as tokens, cast(900 as bigint) as rest, true as gate, false as took
+  union all select n, stage, node_id, tokens, case when gate and tokens <= rest then rest - tokens else rest end, gate, gate and tokens <= rest from (select t.n, t.stage, t.node_id, t.tokens, f.rest, case when t.stage = f.stage then f.gate else f.rest > t.least end as gate from f join t on t.n = f.n + 1))
+select node_id, cast(tokens as integer) as tokens from f where took""",
+    "search_architectural": f"with {_TREE} select 'architectural' as kind, 3 as level, node_id, cast(1 as double) as score from l3s where not exists (select 1 from l2 where {_score(_TEXT2, 'repository overview')} > 0)",
+    "search_implementation": f"""with recursive {_TREE}, t as (select node_id, {_score(_TEXT1, _SHOW)} as score from l1), a as (select * from t where score > 0 order by score desc, node_id limit 4), b as (select node_id from a order by score desc, node_id limit 3),
+k as (select node_id, {_score(_TEXT0, _SHOW)} * 0.8 as score, parent_id from l0 where parent_id in (select node_id from b)), d as (select *, row_number() over (partition by parent_id order by score desc, node_id) as place from k where score > 0),
+files_ as (select * from (select * from a union all select node_id, score from d where place <= 2 and (select count(*) from a) < 4) order by score desc, node_id limit 4),
+s as (select node_id, {_HEAD.format(n=500)} as content, score, row_number() over (order by score desc, node_id) as n from (select node_id, content, {_score(_TEXT0, _SHOW)} as score from l0) where score > 0), w as (select node_id, score, {_words()} as tokens, n from s where n <= 3),
+f as (select cast(0 as bigint) as n, cast(null as varchar) as node_id, cast(0 as double) as score, cast(300 as bigint) as rest, false as took union all select w.n, w.node_id, w.score, case when w.tokens <= f.rest then f.rest - w.tokens else f.rest end, w.tokens <= f.rest from f join w on w.n = f.n + 1),
+o as (select node_id, score from files_ union select node_id, score from f where took) select node_id, round(score, 6) as score from o order by o.score desc, node_id limit 8""",
+    "hierarchy_update": f"with {_TREE.replace(FILES_SQL, _AFTER_FILES)} select 1 as level, node_id, members, summary, round(quality, 6) as quality from l1 union all select 2, node_id, members, summary, round(quality, 6) from l2 union all select 3, node_id, members, summary, round(quality, 6) from l3s",
     "hierarchy_files": f"with {_TREE} select node_id, parent_id, title, language, members, md5(content) as content_hash, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l1",
     "hierarchy_modules": f"with {_TREE} select node_id, parent_id, title, language, members, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l2",
     "hierarchy_repo": f"with {_TREE} select node_id, title, language, members, summary, array_to_string(keywords, ',') as keywords, round(quality, 6) as quality from l3s",
