@@ -67,6 +67,24 @@ def neighbours(spark: SparkSession, edges: DataFrame, starts: DataFrame, hops: i
     return seen.filter("distance > 0")
 
 
+def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """id of the starts and of everything that edges lead to from them, however far.
+
+    With edges turned around (src the dependency, dst what depends on it) this
+    is what becomes stale when the starts change.
+    """
+    scratch = Scratch(spark, "reach")
+    step = scratch.save(directed(edges, "out"), "steps")
+    front = scratch.save(starts.select("id").distinct(), "hop-0")
+    seen, k = front, 0
+    while not front.isEmpty():
+        k += 1
+        met = front.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
+        front = scratch.save(met.join(seen, "id", "left_anti"), f"hop-{k}")
+        seen = seen.union(front)
+    return seen
+
+
 def shortest_path(spark: SparkSession, edges: DataFrame, source: object, target: object, most: int | None = None) -> DataFrame:
     """step, id: nodes of one shortest directed path (the smallest predecessor at each step); empty if there is none.
 

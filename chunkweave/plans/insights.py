@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.functions import classify as C
+from chunkweave.functions import markup as M
 from chunkweave.functions import properties as P
 from chunkweave.functions import text as T
 from chunkweave.operators import builder as B
@@ -231,6 +232,56 @@ def q_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_errors(chunk_files(deep)).select("file_path", "language", "error_class")
 
 
+def q_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that depends, however far, on a part whose key ends in 7 and is divisible by 3; a part depends on that of a third of its key."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    key = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    up = p.filter("p_partkey >= 3").select(key(F.floor(F.col("p_partkey") / 3)).alias("src"), key(F.col("p_partkey")).alias("dst"))
+    starts = p.filter("p_partkey % 10 = 7 and p_partkey % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    return J.reachable(spark, up, starts)
+
+
+def q_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by their confident tags, and how good they are."""
+    t = _scored(spark, sf_dir).select("id", "quality", F.explode(P.confident_tags(F.col("tags"), 0.7)).alias("topic"))
+    return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("mean"), F.min("quality").alias("least"), F.max("quality").alias("most"))
+
+
+def q_xml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.coalesce("html", F.lit(""))
+    f = table(spark, sf_dir, "pages").select("page_id", M.xml_facts(h).alias("f"))
+    return f.select("page_id", "f.elements", "f.unique_elements", "f.attributes", "f.cdata", F.round("f.text_ratio", 6).alias("text_ratio"))
+
+
+def q_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.element_counts(table(spark, sf_dir, "pages"), "html")
+
+
+def q_feed_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = formats._rss(spark, sf_dir).select("file_path", M.feed_basics(F.col("content")).alias("f"))
+    return f.select("file_path", "f.title", F.md5(F.col("f.description").cast("binary")).alias("description"), "f.items")
+
+
+def q_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.filter(M.html_tags(h), lambda t: ~t.startswith("class_") & ~t.startswith("id_")), ",").alias("tags"), F.size(M.html_links(h)).alias("n_links"))
+
+
+def q_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = files(spark, sf_dir).select("doc_id", M.text_statistics(F.col("content")).alias("s"))
+    return s.select("doc_id", "s.words", "s.sentences", F.round("s.sentence_words", 6).alias("sentence_words"), F.round("s.word_chars", 6).alias("word_chars"))
+
+
+def q_style_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors, properties and commands of each part's CSS and LaTeX source."""
+    s = formats.sources(spark, sf_dir)
+    c = F.col("content")
+    css = s.filter(F.col("file_path").endswith(".css")).select("file_path", F.array_join(M.css_properties(c), ",").alias("names"), F.size(M.css_selectors(F.regexp_extract(c, r"(?s)\.part.*?\}", 0))).alias("n"))
+    tex = s.filter(F.col("file_path").endswith(".tex")).select("file_path", M.latex_facts(c).alias("f")).select("file_path", F.array_join("f.commands", ",").alias("names"), (F.col("f.citations") + F.col("f.labels")).alias("n"))
+    rust = s.filter(F.col("file_path").endswith(".rs")).select("file_path", F.array_join(M.rust_dependencies(c), ",").alias("names"), F.lit(0).alias("n"))
+    return css.union(tex).union(rust)
+
+
 def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best parts by similarity and quality."""
     c = parts(spark, sf_dir).select("id", (F.col("p_partkey") % 101 / 100.0).alias("similarity"), "quality")
@@ -242,6 +293,7 @@ QUERIES = {
     "duplicate_patterns": q_duplicate_patterns, "cycles_5": q_cycles, "graph_diameter": q_diameter, "louvain": q_louvain, "chunk_flags": q_flags, "metric_map": q_metric_map, "summary_info": q_summary_info,
     "node_edits": q_node_edits, "node_defects": q_node_defects, "hierarchy_export": q_export, "hierarchy_scalability": q_scalability, "common_keywords": q_keywords, "hierarchy_context": q_context, "leaf_of_chunk": q_of_chunks,
     "extension_rollup": q_rollup, "processing_stats": q_processing, "chunk_errors": q_errors, "hybrid_rank": q_hybrid,
+    "stale_closure": q_stale, "topic_clusters": q_topics, "xml_facts": q_xml_facts, "element_counts": q_elements, "feed_basics": q_feed_basics, "html_tags": q_html_tags, "text_statistics": q_text_statistics, "style_facts": q_style_facts,
 }
 
 _PARTS = """p as (select 'p' || p_partkey as id, p_partkey as k, p_name, 'src/f' || (p_partkey // 20) as file_path, p_partkey % 20 * 3 + 1 as a, p_partkey % 20 * 3 + 1 + p_size as b, p_size / cast(50 as double) as quality from part)"""
@@ -253,7 +305,24 @@ _GRAPH = f"""{_PARTS}, e as ({_REL(7)} union all select x.id, y.id, 'contains',
 _TEMPLATE_COUNTS = ", ".join(f"('{kind}', {sum(r[2] == kind for r in formats.EXPECTED)})" for kind in sorted({r[2] for r in formats.EXPECTED}))
 _PLAIN = "(select count(*) from part)"
 
+_NAMES = "regexp_extract_all(coalesce(html, ''), '<([A-Za-z_][^\\s/>?!<]*)', 1)"
+_KIND_OF = ", ".join(f"case when regexp_matches(low, '<({p})[\\s>/]') then '{n}' end" for n, p in M._HTML_KINDS)
+
 ORACLE_SQL = {
+    "stale_closure": f"with recursive {_PARTS}, r as (select id, k from p where k % 10 = 7 and k % 3 = 0 union select p.id, p.k from r join p on p.k // 3 = r.k and p.k >= 3) select id from r",
+    "topic_clusters": f"with {_PARTS}, t as (select quality, unnest([case when k * 3 % 11 > 7 then 'api' end, case when k * 7 % 11 > 7 then 'io' end, case when k * 5 % 11 > 7 then 'math' end]) as topic from p) select topic, count(*) as n, round(avg(quality), 6) as mean, min(quality) as least, max(quality) as most from t where topic is not null group by 1",
+    "xml_facts": f"""with x as (select page_id, coalesce(html, '') as h, {_NAMES} as names from pages)
+select page_id, cast(len(names) as integer) as elements, cast(len(list_distinct(list_transform(names, lambda n: lower(regexp_replace(n, '^.*:', ''))))) as integer) as unique_elements,
+  cast(len(list_distinct(regexp_extract_all(h, '\\s([\\w:.-]+)=["'']', 1))) as integer) as attributes, cast(len(regexp_extract_all(h, '<!\\[CDATA\\[')) as integer) as cdata,
+  round(case when length(h) > 0 then length(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')) / cast(length(h) as double) else 0 end, 6) as text_ratio from x""",
+    "element_counts": f"with x as (select unnest({_NAMES}) as name from pages) select lower(regexp_replace(name, '^.*:', '')) as element, count(*) as n from x group by 1",
+    "feed_basics": """with w as (select doc_id, source, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')) as t from documents) select 'feed_' || doc_id || '.rss' as file_path, source as title, md5(nullif(t, '')) as description, cast(1 as integer) as items from w""",
+    "html_tags": f"""with x as (select page_id, coalesce(html, '') as h, lower(coalesce(html, '')) as low from pages) select page_id, array_to_string(list_filter(['html', {_KIND_OF}], lambda t: t is not null), ',') as tags, cast(len(list_distinct(regexp_extract_all(h, '(?:href|src)=["'']([^"'']+)', 1))) as integer) as n_links from x""",
+    "text_statistics": f"""with {FILES_SQL}, s as (select doc_id, cast({_words()} as integer) as words, cast(greatest(length(content) - length(replace(replace(replace(content, '.', ''), '!', ''), '?', '')), 1) as integer) as sentences, length(regexp_replace(content, '[ \\t\\n\\r\\f\\x0b]+', '', 'g')) as letters from files)
+select doc_id, words, sentences, round(words / cast(sentences as double), 6) as sentence_words, round(case when words > 0 then letters / cast(words as double) else 0 end, 6) as word_chars from s""",
+    "style_facts": """select 'part_' || p_partkey || '.css' as file_path, 'display,color,padding' as names, cast(2 as integer) as n from part
+union all select 'part_' || p_partkey || '.tex', 'begin:2,end:2,cite:1,documentclass:1,label:1,section:1,usepackage:1', 2 from part
+union all select 'part_' || p_partkey || '.rs', 'uses:std::fmt,calls:derive,calls:area,types:String', 0 from part""",
     "graph_build": f"with {_GRAPH} select edge_type, graph_type, count(*) as n from e group by all",
     "graph_update": f"""with {_GRAPH}, c as (select id from p where k % 10 = 3), hit as (select dst as id from e where graph_type in ('call_graph', 'data_flow', 'import_graph') and src in (select id from c) union select id from c),
 kept as (select src, dst, edge_type from e where graph_type <> 'hierarchy_graph' and src not in (select id from c) and dst not in (select id from c) and (graph_type not in ('semantic_graph', 'quality_graph') or (src not in (select id from hit) and dst not in (select id from hit)))),

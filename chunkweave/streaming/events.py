@@ -1,7 +1,10 @@
 """Structured Streaming over the events table and over folders of files.
 
-Each runner reads with `availableNow`, so it processes all there is and ends;
-state is bounded by watermarks.  Results land in a Parquet folder on shared
+Each runner reads with `availableNow`, so it processes all there is and ends.
+`run_append` gives a window once the watermark has passed it, which bounds its
+state: that is the way for a stream without end, with a delay as short as the
+source's rows are late.  `run_complete` gives every window, also the open ones,
+and keeps them all: it is for streams that end, as the tables here.  Results land in a Parquet folder on shared
 storage and are returned as a batch DataFrame.
 """
 
