@@ -31,8 +31,8 @@ def text_tags(text: Column) -> Column:
     technical = low.rlike(TECHNICAL)
     return tag_list(
         (F.lit(True), "text_content"),
-        (text.rlike(EMAIL), "contains_email"),
-        (text.rlike(URL), "contains_url"),
+        (text.contains("@") & text.rlike(EMAIL), "contains_email"),
+        (text.contains("://") & text.rlike(URL), "contains_url"),
         (text.rlike(FILE_PATH), "contains_filepath"),
         (average > 20, "complex_text"),
         (average < 5, "simple_text"),

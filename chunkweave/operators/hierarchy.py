@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions import tags as G
 from chunkweave.functions import text as T
+from chunkweave.session import Scratch
 
 KEYWORDS = {1: 10, 2: 15, 3: 20}
 
@@ -80,10 +81,11 @@ def architecture_layers(level2: DataFrame) -> DataFrame:
 
 
 def tree(chunks: DataFrame) -> DataFrame:
-    """All levels with the columns they share."""
+    """All levels with the columns they share; files and modules are written once, and so is the whole."""
+    scratch = Scratch(chunks.sparkSession, "tree")
     l0 = leaves(chunks)
-    l1 = files_level(l0)
-    l2 = modules_level(l1)
+    l1 = scratch.save(files_level(l0), "files")
+    l2 = scratch.save(modules_level(l1), "modules")
     cols = ["level", "node_id", "parent_id", "title", "language", "keywords", "quality", "hash"]
     size = {0: F.length("content"), 1: F.length("content"), 2: F.lit(0), 3: F.lit(0)}
     out = None
@@ -91,6 +93,9 @@ def tree(chunks: DataFrame) -> DataFrame:
         text = F.col("summary") if k else F.lit(None).cast("string")
         part = d.select(*cols, text.alias("summary"), size[k].alias("content_size"), (F.col("members") if k else F.lit(0)).cast("long").alias("members"))
         out = part if out is None else out.union(part)
+    out = scratch.save(out, "all")
+    scratch.drop("files")
+    scratch.drop("modules")
     return out
 
 

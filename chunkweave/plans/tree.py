@@ -12,7 +12,7 @@ from chunkweave.operators import incremental as I
 from chunkweave.operators import search as L
 from chunkweave.operators import validate as V
 from chunkweave.plans.chunks import CHUNKS_SQL, FILES_SQL, _COMPLETE, _READ, _TAGS, _words, as_chunks, chunk_table, files
-from chunkweave.session import table
+from chunkweave.session import Scratch, table
 
 
 def q_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def q_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     l0 = H.leaves(chunk_table(spark, sf_dir)).withColumn("summary", F.lit(None).cast("string"))
-    l1 = H.files_level(l0.drop("summary"))
+    l1 = Scratch(spark, "levels").save(H.files_level(l0.drop("summary")), "files")  # searched by itself and below the modules
     l2 = H.modules_level(l1).withColumn("content", F.lit(""))
     return l0, l1, l2
 
