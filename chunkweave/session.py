@@ -85,13 +85,17 @@ class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read many times.
 
     A lost executor costs nothing: the files are on shared storage.  Tables stay
-    until `drop` is called on them, because a lazy result may still read them.
+    until `drop` is called on them, because a lazy result may still read them;
+    who has written that result can `release` all that was made on the way.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -101,3 +105,10 @@ class Scratch:
     def drop(self, name: str | None = None) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Drops the folders made after the first `since` ones."""
+        for s in cls.made[since:]:
+            s.drop()
+        del cls.made[since:]
