@@ -18,8 +18,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.llm import textops
@@ -31,6 +32,7 @@ ALPHA = 0.02
 DELTA = 0.05
 COST_OF_GOOD = 20.0
 GRID = 1001
+MANY_STRATA = 10_000
 #: rule -> direction in which its signal is bad; all signals are integers from 0 to GRID - 1
 RULES = {"symbol_permille": ">", "repeat_permille": ">", "dup_line_permille": ">", "upper_permille": ">", "word_chars_deci_high": ">", "word_chars_deci_low": "<"}
 _SYMBOL = np.zeros(256, bool)
@@ -164,25 +166,36 @@ def certify(good: np.ndarray, bad: np.ndarray, direction: str, rate: float, delt
     return choice
 
 
-def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> cutoff, from rows of signals, stratum and quality (1 good, 0 bad).
+def thresholds(scratch: Scratch, labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, rule, cutoff of what is certified, from rows of signals, stratum and quality (1 good, 0 bad).
 
-    All labelled rows count, as histograms: what reaches the driver is at most
-    GRID numbers per stratum, rule and class.
+    All labelled rows count, as histograms: a stratum and rule is certified in a
+    task of its own from at most 2 * GRID counts, however many strata there are.
     """
     stacked = labelled.select("stratum", "quality", F.explode(F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])).alias("rule", "value"))
-    rows = stacked.groupBy("stratum", "rule", "quality", "value").count().collect()
-    tables: dict[tuple[str, str], dict[int, np.ndarray]] = {}
-    for r in rows:
-        t = tables.setdefault((r["stratum"], r["rule"]), {0: np.zeros(GRID, np.int64), 1: np.zeros(GRID, np.int64)})
-        t[r["quality"]][r["value"]] += r["count"]
-    tests = max(len(tables), 1)
-    out = {}
-    for key, t in sorted(tables.items()):
-        cut = certify(t[1], t[0], RULES[key[1]], alpha / len(RULES), delta / tests)
-        if cut is not None:
-            out[key] = cut
-    return out
+    counts = scratch.save(stacked.groupBy("stratum", "rule", "quality", "value").agg(F.count(F.lit(1)).alias("n")), "histograms")
+    tests = max(counts.select("stratum", "rule").distinct().count(), 1)
+
+    def run(key: tuple[str, str], rows: pd.DataFrame) -> pd.DataFrame:
+        tables = np.zeros((2, GRID), np.int64)
+        np.add.at(tables, (rows["quality"].to_numpy(), rows["value"].to_numpy()), rows["n"].to_numpy())
+        cut = certify(tables[1], tables[0], RULES[key[1]], alpha / len(RULES), delta / tests)
+        found = [(*key, cut)] if cut is not None else []
+        return pd.DataFrame(found, columns=["stratum", "rule", "cutoff"]).astype({"stratum": str, "rule": str, "cutoff": "int32"})
+
+    return scratch.save(counts.groupBy("stratum", "rule").applyInPandas(run, "stratum string, rule string, cutoff int"), "cutoffs")
+
+
+def by_stratum(cutoffs: DataFrame) -> DataFrame:
+    """A row a stratum: its cutoffs, null where a rule is off.  Broadcast up to MANY_STRATA of them, else joined."""
+    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    return F.broadcast(wide) if cutoffs.select("stratum").distinct().count() <= MANY_STRATA else wide
+
+
+def beyond(rule: str) -> Column:
+    """Whether a row's signal is beyond its stratum's cutoff."""
+    cut = F.col(f"cut_{rule}")
+    return F.coalesce(F.col(rule) > cut if RULES[rule] == ">" else F.col(rule) < cut, F.lit(False))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -194,28 +207,22 @@ def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     that do not occur count for nothing.  Null strata are one stratum.  Repeated
     ids are judged row by row.
     """
-    marked, cuts = certified(spark, docs, labels, alpha, delta, id_col, text_col, stratum_col)
-    verdicts = []
-    for rule, direction in RULES.items():
-        strata = {s: c for (s, r), c in cuts.items() if r == rule}
-        if strata:
-            cut = F.create_map(*[F.lit(x) for s, c in strata.items() for x in (s, c)])[F.col("stratum")]
-            beyond = F.col(rule) > cut if direction == ">" else F.col(rule) < cut
-            verdicts.append(F.when(F.coalesce(beyond, F.lit(False)), F.lit(rule)))
-    rules = F.concat_ws(",", *verdicts) if verdicts else F.lit("")
+    marked, cutoffs = certified(spark, docs, labels, alpha, delta, id_col, text_col, stratum_col)
+    marked = marked.join(by_stratum(cutoffs), "stratum", "left")
+    rules = F.concat_ws(",", *[F.when(beyond(r), F.lit(r)) for r in RULES])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = marked.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.alias("rules"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rules") == "")).alias("kept"), "rules")
 
 
-def certified(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str, text_col: str, stratum_col: str) -> tuple[DataFrame, dict[tuple[str, str], int]]:
-    """The signals of every row, and the cutoffs that its labelled rows certify."""
+def certified(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str, text_col: str, stratum_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signals of every row, and the cutoffs that the labelled rows certify."""
     scratch = Scratch(spark, "quality")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
     found = scratch.save(document_features(own), "features")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = found.withColumns(signals())
-    return marked, thresholds(marked.join(known, "doc_id"), alpha, delta)
+    return marked, thresholds(scratch, marked.join(known, "doc_id"), alpha, delta)
 
 
 def keep_passing(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -224,21 +231,27 @@ def keep_passing(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha:
     The counts are taken again in the filtering pass: cheaper than a shuffle of
     the texts, and right for repeated and null ids.
     """
-    _, cuts = certified(spark, docs, labels, alpha, delta, id_col, text_col, stratum_col)
+    _, cutoffs = certified(spark, docs, labels, alpha, delta, id_col, text_col, stratum_col)
+    cut = [f"cut_{r}" for r in RULES]
+    names = docs.columns
+    stratum = next(n for n in (f"_stratum{k}" for k in range(len(names) + 1)) if n not in names)
+    own = [next(n for n in (f"{c}{'_' * k}" for k in range(len(names) + 1)) if n not in names) for c in cut]
+    wide = by_stratum(cutoffs).withColumnsRenamed(dict(zip(["stratum", *cut], [stratum, *own])))
+    joined = docs.join(wide, F.coalesce(docs[stratum_col].cast("string"), F.lit("")) == wide[stratum], "left").select(*[docs[n] for n in names], *[wide[c] for c in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            strata = [s or "" for s in batch.column(names.index(stratum_col)).to_pylist()]
-            keep = np.zeros(batch.num_rows, bool)
+            at, keep = len(names), np.zeros(batch.num_rows, bool)
             for a, b, body, offsets in textops.chunks(batch.column(names.index(text_col))):
-                keep[a:b] = passes(features(body, offsets), strata[a:b], cuts)
-            yield batch.filter(pa.array(keep))
+                part = batch.slice(a, b - a)
+                off = {r: GRID if d == ">" else -1 for r, d in RULES.items()}
+                keep[a:b] = passes(features(body, offsets), {r: part.column(at + k).fill_null(off[r]).to_numpy() for k, r in enumerate(RULES)})
+            yield pa.RecordBatch.from_arrays(batch.columns[:at], names=names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
-def passes(f: dict[str, np.ndarray], strata: list[str], cuts: dict[tuple[str, str], int]) -> np.ndarray:
+def passes(f: dict[str, np.ndarray], cuts: dict[str, np.ndarray]) -> np.ndarray:
     """What `apply_rules` calls kept, for one run of texts."""
     w, c = np.maximum(f["n_words"], 1), np.maximum(f["word_chars"], 1)
     value = {
@@ -252,7 +265,5 @@ def passes(f: dict[str, np.ndarray], strata: list[str], cuts: dict[tuple[str, st
     ok = (f["n_words"] >= MIN_WORDS) & (100 * f["n_repeat_words"] <= REPEAT_PERCENT * f["n_words"])
     for rule, direction in RULES.items():
         v = np.minimum(value[rule], GRID - 1)
-        off = GRID if direction == ">" else -1
-        cut = np.array([cuts.get((s, rule), off) for s in strata])
-        ok &= v <= cut if direction == ">" else v >= cut
+        ok &= v <= cuts[rule] if direction == ">" else v >= cuts[rule]
     return ok

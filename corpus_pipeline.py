@@ -63,7 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(Scratch.made)
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        Scratch.release(before)  # what the stage wrote on its way
         if k > 1:
             scratch.drop(f"stage-{k - 1}")
     return docs

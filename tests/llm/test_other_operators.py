@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from chunkweave.llm import chat, media, minhash, nbsvm, quality_rules, secret_scan, urlfilter
 from chunkweave.session import table
+from tests.llm.test_text_operators import brute_base, brute_components, brute_features
 
 
 # --- 2: images ---------------------------------------------------------------------------
@@ -278,10 +279,21 @@ def test_pipeline_stages_equal_their_operators(spark, corpus):
         lambda d: Counter(r["doc_id"] for r in minhash.near_duplicates(spark, d).collect() if r["kept"]),
         ids,
     ]
-    for f, want in zip(functions[:4], expected):
+    for k, (f, want) in enumerate(zip(functions[:4], expected)):
         after = f(spark, current, corpus)
         assert after.columns == docs.columns
         assert ids(after) == want(current)
+        came = [(r["doc_id"], r["text"]) for r in current.collect()]
+        if k == 1:  # what fails the base by plain counting is gone
+            gone = [i for i, t in came for c in [brute_features(t)] if c[0] < 50 or 100 * c[4] > 50 * c[0]]
+            assert not set(gone) & set(ids(after))
+        if k == 2:  # one document a component, by all pairs
+            component, _ = brute_components(came)
+            assert ids(after) == Counter([i for i, c in component.items() if i == c] + [i for i, _ in came if i is None])
+        if k == 3:  # no base pattern is left, nothing else changed
+            texts = {r["doc_id"]: r["text"] for r in after.collect()}
+            assert not any(brute_base(t) for t in texts.values() if t)
+            assert all(texts[i] == t for i, t in came if not secret_scan.scan(t or "", secret_scan._pattern(secret_scan.ALLOW)))
         current = after
     kept = ids(current)
     assert not any(k % 5 == 0 for k in kept if k is not None) and 602 not in kept and None in kept
