@@ -279,3 +279,26 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_short_ways_in(spark, tmp_path):
+    from chunkweave import api
+
+    (tmp_path / "a.py").write_text("def read_table(path):\n    '''Reads the table of a file and gives its rows.'''\n    return parse_rows(path)\n\n\ndef parse_rows(path):\n    '''Splits a file into rows, one for each line.'''\n    return open(path).read().split()\n")
+    (tmp_path / "b.md").write_text("# Use\n\nThe tables are read by a function that is described in this paragraph.\n")
+    chunks = api.chunk_directory(spark, str(tmp_path)).cache()
+    assert api.chunk_file(spark, str(tmp_path / "a.py")).count() == 2
+    one = spark.createDataFrame([(str(tmp_path / "a.py"), "python")], "file_path string, language string")
+    text = spark.createDataFrame([(str(tmp_path / "a.py"), (tmp_path / "a.py").read_text()), ("z", "x")], "file_path string, content string")
+    assert api.chunk_catalogue(one, text).count() == 2
+    g = api.build_graph(chunks)
+    assert any(r["edge_type"] == "calls" and "parse_rows" in r["dst"] and "read_table" in r["src"] for r in g.edges.collect())
+    levels = {r["level"]: r["count"] for r in api.build_hierarchy(chunks).groupBy("level").count().collect()}
+    assert levels[3] == 1 and levels[0] == chunks.count()
+    assert "parse_rows" in api.search(chunks, "parse_rows split", 1).first()["content"]
+    code_, documents = api.typed(chunks)
+    assert {r["cyclomatic"] for r in code_.collect()} == {1} and documents.filter("section_type = 'heading'").count() >= 1
+    assert {r["importance"] for r in api.rescored(chunks, F.lit(7.0)).collect()} == {1.0}
+    old = spark.createDataFrame([("i", "f", "text", 1, 2, "python", "function", ["k"], [0.5])], "id string, file_path string, content string, start_line int, end_line int, language string, chunk_type string, keywords array<string>, embedding array<double>")
+    assert api.from_legacy(old).first()["tags"] == ["k"]
+    assert api.PRESETS["fine"].target_size < api.PRESETS["coarse"].target_size

@@ -1,5 +1,7 @@
 """Segmenters, chunkers, graph, hierarchy, search, incremental, streaming, sources."""
 
+import datetime
+import time
 import random
 from collections import Counter
 
@@ -348,3 +350,18 @@ def test_streams(spark, tmp_path):
     seen = []
     E.watch_folder(spark, str(tmp_path / "in"), lambda b, n: seen.extend(r["content"] for r in b.collect()), str(tmp_path / "state")).awaitTermination()
     assert seen == ["hello\nworld"]
+
+
+def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
+    """A watermark with a short delay: a window is given once it is passed, and a row behind it counts no more."""
+    from chunkweave.streaming import events as E
+
+    schema = "event_id long, user_id long, event_type string, ts timestamp, value double"
+    folder = str(tmp_path / "in")
+    for k, minutes in enumerate(([0, 5, 50], [300], [302], [1, 301], [900], [901])):
+        rows = [(10 * k + j, 1, "x", datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m), 1.0) for j, m in enumerate(minutes)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {r["start"].hour: r["n"] for r in E.run_append(spark, E.tumbling(stream, "1 hour", late="10 minutes"), "late").collect()}
+    assert got == {0: 3, 5: 3}  # the row of minute 1 came after the watermark; the last window is still open
