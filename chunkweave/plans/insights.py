@@ -364,8 +364,8 @@ select id, k % 4 >= 2 as complex, k % 5 > 0 as embedded, k % 10 > 7 as coupled,
   array_to_string(list_transform(list_filter(tags, lambda t: t.c > 8), lambda t: t.n), ',') as confident, 'api,io,math' as names from c""",
     "metric_map": f"""with {_PARTS}, m as (select id, case when k % 21 <= 5 then 1.0 when k % 21 <= 10 then 0.7 when k % 21 <= 15 then 0.5 else 0.3 end::double as cx, k, quality from p),
 o as (select *, (k % 10 / cast(10 as double) + cx + quality) / 3 as overall from m)
-select id, metric, round(value, 6) as value, round(overall, 6) as overall from (select id, overall, unnest(['coupling', 'reusability', 'maintainability', 'test_coverage_indicator', 'documentation_quality', 'type_safety', 'complexity', 'error_handling']) as metric,
-  unnest([k % 10 / cast(10 as double), k % 7 / cast(7 as double), quality, k % 4 / cast(4 as double), k % 10 / cast(10 as double), k % 7 / cast(7 as double), cx, case when k % 3 = 0 then 1.0 else 0.0 end]) as value from o)""",
+select id, metric, round(value, 6) as value, round(overall, 6) as overall from (select id, overall, unnest(['complexity', 'error_handling', 'type_safety', 'documentation_quality', 'coupling', 'test_coverage_indicator', 'reusability', 'maintainability']) as metric,
+  unnest([cx, case when k % 3 = 0 then 1.0 else 0.0 end, k % 7 / cast(7 as double), k % 10 / cast(10 as double), k % 10 / cast(10 as double), k % 4 / cast(4 as double), k % 7 / cast(7 as double), quality]) as value from o)""",
     "summary_info": f"with {FILES_SQL} select doc_id as id, round((cast(({_READ}) as double) + cast(({_COMPLETE}) as double)) / 2, 6) as quality, cast(length(content) as integer) as characters, cast(length(content) - length(replace(content, chr(10), '')) + 1 as integer) as lines, cast({_words()} as integer) as words, case when doc_id % 10 > 8 then language else '' end as tags from files",
     "node_edits": """with n as (select n_regionkey, list_sort(list(n_name)) as c, min(n_name) as low from nation group by 1)
 select n_regionkey, array_to_string(list_append(c[2:], 'NOWHERE'), ',') as children, 'api of ' || low as api, 'none' as quality, 'about ' || low as other, false as leaf,
