@@ -91,6 +91,30 @@ def test_links_off_the_centres_of_a_shared_logo(spark):
     assert all(got[10 * k + 1]["component_id"] == got[10 * k]["component_id"] for k in range(8, 16))
 
 
+def arranged(n, seed):
+    """Images of the same six tiles in other places: their words are the same, only where they lie differs."""
+    rng, tiles, out = np.random.default_rng(seed), [g[30:52, 30:52] for g in drawings(6, 41)], []
+    for _ in range(n):
+        a = np.full((156, 156), 60.0, np.float32)
+        for tile, cell in zip(tiles, rng.permutation(9)):
+            y, x = 52 * (cell // 3) + rng.integers(4, 26), 52 * (cell % 3) + rng.integers(4, 26)
+            a[y : y + 22, x : x + 22] = tile
+        out.append(a)
+    return out
+
+
+def test_copies_that_share_only_common_words(spark):
+    """Copies of ids of the middle among images of equal words: no bucket leaves a pair out."""
+    rows = []
+    for k, g in enumerate(arranged(40, 4)):
+        rows.append((10 * k, media.encode_png(g)))
+        if 16 <= k < 26:
+            rows.append((10 * k + 1, media.encode_png(np.rint(g * 0.8 + 25))))
+    got = {r["image_id"]: r["component_id"] for r in media.find_copies(spark, spark.createDataFrame(rows, "image_id long, image binary").repartition(4)).collect()}
+    met = [k for k in range(16, 26) if got[10 * k + 1] == got[10 * k]]
+    assert len(met) == 10 and len(set(got.values())) > 25  # images with two tiles alike are linked too
+
+
 def test_repeated_and_null_image_ids(spark):
     a, b = drawings(2, 3)
     rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, None), (4, None), (4, None)]
