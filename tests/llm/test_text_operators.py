@@ -305,6 +305,17 @@ def test_links_off_the_centres_of_a_hot_bucket(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == component
 
 
+def test_tables_are_let_go_before_buckets_are_settled(spark, monkeypatch):
+    """What the rounds don't read is off the disk by then."""
+    import os
+
+    seen, settle = [], minhash.settle
+    monkeypatch.setattr(minhash, "settle", lambda scratch, *a: (seen.extend(os.listdir(scratch.root.removeprefix("file:"))), settle(scratch, *a))[1])
+    got = minhash.near_duplicates(spark, table(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+    assert "own" in seen and not {"sketches", "classes"} & set(seen)
+
+
 @pytest.mark.parametrize("hot", [minhash.HOT, 8])
 def test_families_around_the_threshold(spark, hot):
     rng = random.Random(5)
