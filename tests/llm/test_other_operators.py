@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from chunkweave.llm import chat, media, minhash, nbsvm, quality_rules, secret_scan, urlfilter
-from chunkweave.session import table
+from chunkweave.llm import chat, media, meetings, minhash, nbsvm, quality_rules, secret_scan, urlfilter
+from chunkweave.session import Scratch, table
 from tests.llm.test_text_operators import brute_base, brute_components, brute_features
 
 
@@ -115,6 +115,34 @@ def test_copies_that_share_only_common_words(spark):
     assert len(met) == 10 and len(set(got.values())) > 25  # images with two tiles alike are linked too
 
 
+def test_slices_and_large_buckets_change_nothing(spark, monkeypatch):
+    """One or many slices, buckets met by members or by pairs of corners; no exchange holds much more than its room."""
+    rows = []
+    for k, g in enumerate(arranged(12, 4)):
+        rows.append((10 * k, media.encode_png(g)))
+        if 5 <= k < 8:
+            rows.append((10 * k + 1, media.encode_png(np.rint(g * 0.8 + 25))))
+    df = spark.createDataFrame(rows, "image_id long, image binary").repartition(4)
+    whole = sorted(media.find_copies(spark, df, hot=4).collect())
+    sent = []
+    add = Scratch.add
+    monkeypatch.setattr(Scratch, "add", lambda self, some, name, *by: (sent.append(name), add(self, some, name, *by)))
+    monkeypatch.setattr(media, "LEAST_ROOM", 1 << 19)
+    assert sorted(media.find_copies(spark, df, hot=4).collect()) == whole
+    assert min(sent.count(name) for name in ("twos", "pairs-large")) > 1
+    got = {r["image_id"]: r["component_id"] for r in whole}
+    assert all(got[10 * k + 1] == got[10 * k] for k in range(5, 8))
+
+
+def test_meetings_are_all_pairs():
+    rng = np.random.default_rng(2)
+    lens = rng.integers(1, 9, 40)
+    first = rng.random(lens.sum()) < 0.5
+    got = [(int(a), int(b)) for i, j in meetings.meet(lens, first) for a, b in zip(i, j)]
+    at = np.repeat(np.arange(40), lens)
+    assert sorted(got) == [(a, b) for a in range(len(at)) for b in range(a + 1, len(at)) if at[a] == at[b] and first[a]]
+
+
 def test_repeated_and_null_image_ids(spark):
     a, b = drawings(2, 3)
     rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, None), (4, None), (4, None)]
