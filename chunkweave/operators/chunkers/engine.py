@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from chunkweave.functions import classify as C
 from chunkweave.functions import text as T
 from chunkweave.operators.chunkers import code, markup
 from chunkweave.operators.chunkers.base import Chunk, Config, chunk_id, keep
-from chunkweave.session import small_batches
+from chunkweave.session import Scratch, small_batches
 
 CHUNK_SCHEMA = (
     "file_path string, language string, chunk_id string, chunk_type string, identifier string, start_line int, end_line int, content string, importance double, "
@@ -93,9 +94,21 @@ def can_parse(files: DataFrame) -> DataFrame:
     return files.filter(found.isin(*sorted(set(ROUTES) - {"unknown"})))
 
 
-def chunk_files(files: DataFrame, cfg: Config = Config(), fallback: bool = True, errors: bool = True) -> DataFrame:
+#: Column of chunks -> its value of a path, language and chunk.
+_VALUES: dict[str, Callable[[str, str | None, Chunk], object]] = {
+    "file_path": lambda path, lang, c: path, "language": lambda path, lang, c: lang, "chunk_id": lambda path, lang, c: chunk_id(path, c), "chunk_type": lambda path, lang, c: c.kind, "identifier": lambda path, lang, c: c.name,
+    "start_line": lambda path, lang, c: c.start, "end_line": lambda path, lang, c: c.end, "content": lambda path, lang, c: c.content, "importance": lambda path, lang, c: float(c.importance), "tags": lambda path, lang, c: c.tags,
+    "dependencies": lambda path, lang, c: c.deps, "metadata": lambda path, lang, c: list(c.meta.items()),
+}
+_KINDS = dict(zip(_VALUES, [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]))
+
+
+def chunk_files(files: DataFrame, cfg: Config = Config(), fallback: bool = True, errors: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Chunks of files (file_path, content, language optional), one pass, no shuffle.
 
+    `columns` names those of CHUNK_SCHEMA that are asked for (all without): others
+    are neither worked out nor sent from Python, which expressions can't tell it.
+
     The language column decides, then the extension.  With `fallback`, a file
     that no chunker takes, or whose chunker finds nothing or fails, is chunked
     as plain text; without, it gives no chunk.  Null content gives no row.  No
@@ -109,8 +122,10 @@ def chunk_files(files: DataFrame, cfg: Config = Config(), fallback: bool = True,
         F.col("file_path").cast("string"), F.coalesce(language, C.language_of(T.extension(F.col("file_path")))).alias("language"), F.col("content").cast("string")
     )
     chunkers, routes = dict(CHUNKERS), dict(ROUTES)
-    names = [p.split()[0] for p in CHUNK_SCHEMA.replace("map<string,string>", "map").split(", ")]
-    kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
+    schema = {p.split()[0]: p for p in CHUNK_SCHEMA.split(", ")}
+    names = [n for n in schema if columns is None or n in columns]
+    cfg = replace(cfg, wanted=None if columns is None else frozenset(columns))
+    kinds, values = [_KINDS[n] for n in names], [_VALUES[n] for n in names]
 
     def of_one(path: str, lang: str | None, text: str) -> Iterator[tuple]:
         found: list[Chunk] = []
@@ -127,25 +142,29 @@ def chunk_files(files: DataFrame, cfg: Config = Config(), fallback: bool = True,
             except ChunkingError as e:
                 wrong = wrong or e
         for c in found:
-            yield path, lang, chunk_id(path, c), c.kind, c.name, c.start, c.end, c.content, float(c.importance), c.tags, c.deps, list(c.meta.items())
+            yield tuple([v(path, lang, c) for v in values])
         if wrong and errors:
-            yield path, lang, f"{path}:error", "error", None, 1, text.count("\n") + 1, "", 0.0, [], [], [("error_class", type(wrong).__name__), ("error", str(wrong))]
+            row = dict(zip(_VALUES, (path, lang, f"{path}:error", "error", None, 1, text.count("\n") + 1, "", 0.0, [], [], [("error_class", type(wrong).__name__), ("error", str(wrong))])))
+            yield tuple(row[n] for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_at = names.index("content") if "content" in names else None
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if not text or not text.strip():
                     continue
-                rows += of_one(path, lang, text)
                 size += len(text)
-                if size > FLUSH_CHARS:  # chunks may be nested: what a batch gives is larger than the batch
-                    yield _as_batch(rows, names, kinds)
-                    rows, size = [], 0
+                for row in of_one(path, lang, text):
+                    rows.append(row)
+                    size += len(row[text_at]) if text_at is not None else 0
+                    if size > FLUSH_CHARS:  # chunks may be nested: what a batch gives is larger than the batch
+                        yield _as_batch(rows, names, kinds)
+                        rows, size = [], 0
             yield _as_batch(rows, names, kinds)
 
-    return routed.mapInArrow(run, CHUNK_SCHEMA)
+    return routed.mapInArrow(run, ", ".join(schema[n] for n in names))
 
 
 def _as_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -163,12 +182,20 @@ def without_errors(chunks: DataFrame) -> DataFrame:
 
 
 def processing_stats(chunks: DataFrame) -> DataFrame:
-    """One row: files, failed files, success rate, chunks, characters, and how many chunks each language and type has."""
-    per = chunks.groupBy("file_path").agg(F.max((F.col("chunk_type") == "error").cast("int")).alias("failed"))
+    """One row: files, failed files, success rate, chunks, characters, and how many chunks each language and type has.
+
+    The chunks are made once: counts by file, language and type are written and all else is read from them.
+    Without the chunks' content characters and mean size are null.
+    """
+    scratch = Scratch(chunks.sparkSession, "stats")
+    short = chunks.groupBy("file_path", "language", "chunk_type").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length("content")) if "content" in chunks.columns else F.lit(None).cast("long")).alias("characters"))
+    short = scratch.save(short, "counts")
+    per = short.groupBy("file_path").agg(F.max((F.col("chunk_type") == "error").cast("int")).alias("failed"))
     files = per.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
-    own = without_errors(chunks)
-    count = lambda c: own.groupBy(c).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(c), F.lit("unknown")), "count")))).alias(c + "s"))
-    sizes = own.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("characters"), F.avg(F.length("content")).alias("mean_size"))
+    own = without_errors(short)
+    count = lambda c: own.groupBy(c).agg(F.sum("n").alias("count")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(c), F.lit("unknown")), "count")))).alias(c + "s"))
+    total, chars = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("characters"), F.lit(0)) if "content" in chunks.columns else F.sum("characters")
+    sizes = own.agg(total.alias("chunks"), chars.alias("characters"), F.when(total > 0, chars / total).alias("mean_size"))
     rate = F.when(F.col("files") > 0, 1 - F.col("failed") / F.col("files")).otherwise(F.lit(0.0))
     return files.withColumn("success_rate", rate).crossJoin(sizes).crossJoin(count("language")).crossJoin(count("chunk_type"))  # one row each
 

@@ -108,25 +108,26 @@ SOURCES = {"html": HTML, "json": JSON, "py": PYTHON, "rs": RUST, "js": JAVASCRIP
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small source file of each format for every part."""
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("suffix"), F.lit(v).alias("template")) for k, v in SOURCES.items()]))
-    p = table(spark, sf_dir, "part").select("p_partkey", kinds.alias("s"))
+    part = table(spark, sf_dir, "part")
+    p = spread(part.select("p_partkey"), part).select("p_partkey", kinds.alias("s"))  # keys are spread, not the texts made of them
     key = F.col("p_partkey").cast("string")
-    made = p.select(F.concat(F.lit("part_"), key, F.lit("."), F.col("s.suffix")).alias("file_path"), F.replace(F.col("s.template"), F.lit("@@"), key).alias("content"))
-    return spread(made, table(spark, sf_dir, "part"))
+    return p.select(F.concat(F.lit("part_"), key, F.lit("."), F.col("s.suffix")).alias("file_path"), F.replace(F.col("s.template"), F.lit("@@"), key).alias("content"))
 
 
 def q_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_files(sources(spark, sf_dir)).select("file_path", "language", "chunk_type", "identifier", "start_line", "end_line")
+    return chunk_files(sources(spark, sf_dir), columns=("file_path", "language", "chunk_type", "identifier", "start_line", "end_line"))
 
 
 def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"))
-    return chunk_files(pages).select("chunk_id", "file_path", "chunk_type", "identifier", "start_line", "end_line", "importance", F.size("tags").alias("n_tags"))
+    found = chunk_files(pages, columns=("chunk_id", "file_path", "chunk_type", "identifier", "start_line", "end_line", "importance", "tags"))
+    return found.select("chunk_id", "file_path", "chunk_type", "identifier", "start_line", "end_line", "importance", F.size("tags").alias("n_tags"))
 
 
 def q_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many elements of each kind each page gives, of any size."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"))
-    found = chunk_files(pages, Config(min_size=0)).filter("chunk_type = 'html_element'")
+    found = chunk_files(pages, Config(min_size=0), columns=("file_path", "chunk_type", "start_line", "tags")).filter("chunk_type = 'html_element'")
     return found.groupBy("file_path", F.col("tags")[1].alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
 
 
