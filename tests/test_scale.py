@@ -42,3 +42,14 @@ def test_columns_of_chunks_don_t_depend_on_which_are_asked_for(spark):
         at = [names.index(n) for n in kept]
         rows = sorted(map(tuple, got.collect()), key=lambda r: tuple(str(r[kept.index(n)]).zfill(9) if n == "start_line" else r[kept.index(n)] for n in ("file_path", "start_line", "chunk_id")))
         assert rows == [tuple(r[k] for k in at) for r in whole]
+
+
+def test_html_elements_of_any_depth(spark):
+    deep = "<html><body>" + "".join(f'<div class="d{k}">' for k in range(3000)) + "<p>inside of all of them" + "</div>" * 3000 + "</body></html>"
+    found = chunk_files(spark.createDataFrame([("a.html", deep)], "file_path string, content string"), Config(min_size=0), columns=("chunk_type", "start_line", "tags"))
+    assert {r["tag"]: r["n"] for r in found.groupBy(F.col("tags")[1].alias("tag")).agg(F.count(F.lit(1)).alias("n")).collect()} == {"div": 3000, "p": 1}
+    mixed = "<html>\n" + "<section>\n" * 40 + "<p>one of the paragraphs \n </p> \n" + "</section>\n" * 40
+    rows = chunk_files(spark.createDataFrame([("a.html", mixed)], "file_path string, content string"), Config(min_size=0)).filter("chunk_type = 'html_element'").collect()
+    assert len(rows) == 41
+    for r in rows:
+        assert r["content"] == r["content"].strip() and r["end_line"] - r["start_line"] == r["content"].count("\n") and r["content"] in mixed
