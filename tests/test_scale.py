@@ -53,3 +53,35 @@ def test_html_elements_of_any_depth(spark):
     assert len(rows) == 41
     for r in rows:
         assert r["content"] == r["content"].strip() and r["end_line"] - r["start_line"] == r["content"].count("\n") and r["content"] in mixed
+
+
+def test_links_of_vectors_without_a_table_of_them(spark, monkeypatch):
+    import numpy as np
+
+    from chunkweave.operators import graph as J
+    from chunkweave.operators import links as K
+    from chunkweave.operators.similarity import cosine_search
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 8))
+    points = [(int(7 * k + 3), [float(v) for v in centres[k % 9] + rng.normal(size=8) * (0.2 + k % 3)]) for k in range(700)] + [(-5, None), (-6, [0.0] * 8), (-7, points_of(centres[0])), (-8, points_of(centres[0]))]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(K, "BLOCK_ROWS", 150)
+    for least in (0.3, 0.97):
+        e = cosine_search(spark, df, df, least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("similarity").alias("weight")).cache()
+        links = K.Links(spark, df, least)
+        assert links.unique and len(links.blocks) > 1
+        same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+        assert same(links.components(), J.components(spark, e))
+        assert same(links.labels(4), J.label_propagation(spark, e, 4))
+        assert same(links.clustering(), J.clustering(e))
+        n = J.endpoints(e).count()
+        assert links.linked(10_000) == n and links.linked(20) >= 20
+    assert not K.Links(spark, df.union(df.filter("vec_id = 3")), 0.3).unique
+    assert K.Links(spark, df.limit(0), 0.3).components().count() == 0 and K.Links(spark, df.limit(0), 0.3).clustering().count() == 0 and K.Links(spark, df.limit(0), 0.3).labels(2).count() == 0
+    gaps = np.array([0, 65_534, 65_535, 65_536, 200_000, 1])
+    assert list(K._unpacked(K._packed(gaps))) == list(np.cumsum(gaps))
+
+
+def points_of(v):
+    return [float(x) for x in v]
