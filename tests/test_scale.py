@@ -85,3 +85,27 @@ def test_links_of_vectors_without_a_table_of_them(spark, monkeypatch):
 
 def points_of(v):
     return [float(x) for x in v]
+
+
+def test_hubs_and_long_chains(spark):
+    """A bipartite graph has no path of two arcs to look at, a chain takes few rounds, and both are counted right."""
+    from chunkweave.operators import graph as J
+
+    star = [(f"h{h}", f"p{p}", 1.0) for h in range(3) for p in range(400)]
+    e = spark.createDataFrame(star, "src string, dst string, weight double")
+    d = {r["id"]: (r["degree"], r["triangles"]) for r in J.clustering(e).collect()}
+    assert d["h0"] == (400, 0) and d["p7"] == (3, 0) and len(d) == 403
+    before = {p.name for p in _folders(spark)}
+    chain = [(k, k + 1, 1.0) for k in range(0, 300)] + [(1000 + k * 7919 % 301, 1000 + (k + 1) * 7919 % 301, 1.0) for k in range(300)] + [(5000, 5000, 1.0)]
+    got = {r["id"]: r["component"] for r in J.components(spark, spark.createDataFrame(chain, "src long, dst long, weight double")).collect()}
+    assert got == {k: 0 for k in range(301)} | {1000 + k: 1000 for k in range(301)} | {5000: 5000}
+    kept = [x.name for p in _folders(spark) if p.name not in before and p.name.startswith("components") for x in p.iterdir()]
+    assert len(kept) == 2  # the last round's edges and the result: those before are let go
+
+
+def _folders(spark):
+    import pathlib
+
+    from chunkweave.session import shared_dir
+
+    return list(pathlib.Path(shared_dir(spark).removeprefix("file://")).iterdir())
