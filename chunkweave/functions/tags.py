@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +19,20 @@ TECHNICAL = "error|warning|debug|info|exception|stack trace"
 
 def tag_list(*rules: tuple[Column, str]) -> Column:
     """The names whose condition holds."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(cond, F.array(F.lit(name))).otherwise(none) for cond, name in rules])
 
 
-def sentence_words(text: Column) -> Column:
+def sentence_words(text: Column, words: Column | None = None) -> Column:
     """Words per part between sentence ends (parts may be empty, as after a last full stop)."""
-    return word_count(text) / (F.regexp_count(text, F.lit(r"[.!?]+")) + 1)
+    return (word_count(text) if words is None else words) / (F.regexp_count(text, F.lit(r"[.!?]+")) + 1)
 
 
-def text_tags(text: Column) -> Column:
-    average = sentence_words(text)
-    low = F.lower(text)
-    technical = low.rlike(TECHNICAL)
+def text_tags(text: Column, average: Column | None = None, low: Column | None = None) -> Column:
+    """Tags of plain text; `average` and `low` are its sentence_words and itself in lower case, where they are there already."""
+    average = sentence_words(text) if average is None else average
+    low = F.lower(text) if low is None else low
+    technical = reduce(lambda a, b: a | b, [low.contains(w) for w in TECHNICAL.split("|")])  # plain words: no pattern is needed
     return tag_list(
         (F.lit(True), "text_content"),
         (text.contains("@") & text.rlike(EMAIL), "contains_email"),

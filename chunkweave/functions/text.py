@@ -147,13 +147,14 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(reduce(lambda a, b: a + b, [occurrences(text, c) for c in ".!?"]), F.lit(1))
 
 
-def average_sentence(text: Column) -> Column:
-    return word_count(text) / sentence_count(text)
+def average_sentence(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
+    """Words a sentence; counts that are there already are taken."""
+    return (word_count(text) if words is None else words) / (sentence_count(text) if sentences is None else sentences)
 
 
-def readability(text: Column) -> Column:
-    a = average_sentence(text)
-    return F.when(word_count(text) == 0, 0.0).when(a <= 15, 0.9).when(a <= 25, 0.7).when(a <= 35, 0.5).otherwise(0.3)
+def readability(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
+    a = average_sentence(text, words, sentences)
+    return F.when((word_count(text) if words is None else words) == 0, 0.0).when(a <= 15, 0.9).when(a <= 25, 0.7).when(a <= 35, 0.5).otherwise(0.3)
 
 
 def section_type(text: Column) -> Column:
@@ -188,9 +189,9 @@ def structure_consistency(text: Column) -> Column:
     return F.when(kind == "heading", heading).when(kind == "code_block", code).otherwise(other)
 
 
-def completeness(text: Column) -> Column:
-    base = F.least(sentence_count(text) / 5.0, F.lit(1.0))
-    a = average_sentence(text)
+def completeness(text: Column, words: Column | None = None, sentences: Column | None = None) -> Column:
+    base = F.least((sentence_count(text) if sentences is None else sentences) / 5.0, F.lit(1.0))
+    a = average_sentence(text, words, sentences)
     return F.when((a >= 5) & (a <= 30), F.least(base + 0.2, F.lit(1.0))).otherwise(base)
 
 
@@ -243,9 +244,9 @@ def base_importance(text: Column, chunk_type: Column, deps: Column, target: int
     return F.least(F.lit(0.5) + size + unit + F.least(deps * 0.05, F.lit(0.2)), F.lit(1.0))
 
 
-def heuristic_importance(text: Column, chunk_type: Column) -> Column:
+def heuristic_importance(text: Column, chunk_type: Column, words: Column | None = None) -> Column:
     base = F.when(chunk_type.isin("function", "class"), 0.9).when(chunk_type == "method", 0.8).when(chunk_type == "import", 0.6).otherwise(0.5)
-    words, lines = word_count(text), line_count(text)
+    words, lines = word_count(text) if words is None else words, line_count(text)
     bonus = F.when((words >= 50) & (words <= 200), 0.1).otherwise(0.0) + F.when((lines >= 5) & (lines <= 50), 0.1).otherwise(0.0)
     bonus = bonus + F.when(text.rlike("def |class |function |const "), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.1), base + bonus))

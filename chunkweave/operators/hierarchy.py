@@ -16,17 +16,34 @@ from chunkweave.session import Scratch
 KEYWORDS = {1: 10, 2: 15, 3: 20}
 
 
-def leaves(chunks: DataFrame) -> DataFrame:
-    """Level 0 from chunks (chunk_id, file_path, module, language, chunk_no, content)."""
+#: What several columns of a text are made of.
+_COUNTS = {"words": T.word_count, "sentences": T.sentence_count, "low": F.lower}
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """chunks with their content in lower case, its words, sentences and mean sentence, each made once."""
     c = F.col("content")
-    quality = (T.readability(c) + T.completeness(c)) / 2
-    return chunks.select(
+    return chunks.withColumns({k: f(c) for k, f in _COUNTS.items()}).withColumn("average", G.sentence_words(c, F.col("words")))
+
+
+def leaves(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """Level 0 from chunks (chunk_id, file_path, module, language, chunk_no, content); of the content `most` characters are kept, where that is given."""
+    c, counts = F.col("content"), (F.col("words"), F.col("sentences"))
+    quality = (T.readability(c, *counts) + T.completeness(c, *counts)) / 2
+    return counted(chunks).select(
         F.lit(0).alias("level"), F.concat(F.lit("L0:"), "chunk_id").alias("node_id"), F.concat(F.lit("L1:"), T.file_stem(F.col("file_path"))).alias("parent_id"),
-        F.concat(F.lit("text_block: "), "chunk_id").alias("title"), "file_path", "module", "language", "chunk_no", "content", G.text_tags(c).alias("keywords"), quality.alias("quality"),
+        F.concat(F.lit("text_block: "), "chunk_id").alias("title"), "file_path", "module", "language", "chunk_no", (c if most is None else F.substring(c, 1, most)).alias("content"), G.text_tags(c, F.col("average"), F.col("low")).alias("keywords"), quality.alias("quality"),
         F.sha2(c.cast("binary"), 256).alias("hash"),
     )
 
 
+def measured(level0: DataFrame) -> DataFrame:
+    """Level 0 with the sizes of its texts (content_size, and part_size in a file of several chunks) in place of the texts."""
+    n = F.length("content")
+    part = F.length("title") + 4 + F.when(n > 500, 503).otherwise(n)
+    return level0.withColumns({"content_size": n, "part_size": part}).drop("content")
+
+
 def _merge_keywords(level: int) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keywords")))), 1, KEYWORDS[level])
 
@@ -38,18 +55,24 @@ def _merkle() -> Column:
 
 
 def files_level(level0: DataFrame) -> DataFrame:
-    """Level 1: one chunk is promoted as it is, several are summarised."""
+    """Level 1: one chunk is promoted as it is, several are summarised; of `measured` leaves with content_size in place of content."""
+    if "content" not in level0.columns:
+        return _files(level0, (F.sum("part_size") + 2 * (F.count(F.lit(1)) - 1)).cast("int").alias("joined"), "content_size")
     head = F.when(F.length("content") > 500, F.concat(F.substring("content", 1, 500), F.lit("..."))).otherwise(F.col("content"))
     part = F.struct("chunk_no", F.concat(F.lit("## "), "title", F.lit("\n"), head).alias("text"))
+    return _files(level0, F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n\n").alias("joined"), "content")
+
+
+def _files(level0: DataFrame, joined: Column, text: str) -> DataFrame:
     g = level0.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("members"), F.first("module").alias("module"), F.first("language").alias("language"), F.avg("quality").alias("quality"), _merge_keywords(1).alias("keywords"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n\n").alias("joined"), F.first("content").alias("only"), _merkle().alias("hash"),
+        joined, F.first(text).alias("only"), _merkle().alias("hash"),
     )
     name = T.file_name(F.col("file_path"))
     summary = F.concat(F.lit("File "), name, F.lit(" contains "), F.col("members").cast("string"), F.lit(" components: text_block. Primary functionality includes: "), F.array_join(F.slice("keywords", 1, 3), ", "), F.lit("."))
     return g.select(
         F.lit(1).alias("level"), F.concat(F.lit("L1:"), T.file_stem(F.col("file_path"))).alias("node_id"), F.concat(F.lit("L2:"), "module").alias("parent_id"), F.concat(F.lit("File: "), name).alias("title"),
-        "file_path", "module", "language", "members", F.when(F.col("members") == 1, F.col("only")).otherwise(F.col("joined")).alias("content"), F.when(F.col("members") > 1, summary).alias("summary"), "keywords", "quality", "hash",
+        "file_path", "module", "language", "members", F.when(F.col("members") == 1, F.col("only")).otherwise(F.col("joined")).alias(text), F.when(F.col("members") > 1, summary).alias("summary"), "keywords", "quality", "hash",
     )
 
 
@@ -81,19 +104,20 @@ def architecture_layers(level2: DataFrame) -> DataFrame:
 
 
 def tree(chunks: DataFrame) -> DataFrame:
-    """All levels with the columns they share; files and modules are written once, and so is the whole."""
+    """All levels with the columns they share; each is written once, and so is the whole. No text but titles and summaries is moved."""
     scratch = Scratch(chunks.sparkSession, "tree")
-    l0 = leaves(chunks)
+    l0 = scratch.save(measured(leaves(chunks)), "leaves")
     l1 = scratch.save(files_level(l0), "files")
     l2 = scratch.save(modules_level(l1), "modules")
     cols = ["level", "node_id", "parent_id", "title", "language", "keywords", "quality", "hash"]
-    size = {0: F.length("content"), 1: F.length("content"), 2: F.lit(0), 3: F.lit(0)}
+    size = {0: F.col("content_size"), 1: F.col("content_size"), 2: F.lit(0), 3: F.lit(0)}
     out = None
     for k, d in enumerate((l0, l1, l2, repository_level(l2))):
         text = F.col("summary") if k else F.lit(None).cast("string")
         part = d.select(*cols, text.alias("summary"), size[k].alias("content_size"), (F.col("members") if k else F.lit(0)).cast("long").alias("members"))
         out = part if out is None else out.union(part)
     out = scratch.save(out, "all")
+    scratch.drop("leaves")
     scratch.drop("files")
     scratch.drop("modules")
     return out
@@ -145,9 +169,12 @@ def changed_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
 def update_levels(before: DataFrame, chunks: DataFrame) -> DataFrame:
     """Level-1 nodes after a change: only files with a changed chunk are built anew.
 
-    before: level-1 nodes of the old tree; chunks: all chunks now.
+    before: level-1 nodes of the old tree; chunks: all chunks now.  Where the nodes have content_size in place of content,
+    so has the result.  What is used several times is written once.
     """
-    now = leaves(chunks)
+    scratch = Scratch(chunks.sparkSession, "update")
+    before = scratch.save(before, "before")
+    now = scratch.save(leaves(chunks) if "content" in before.columns else measured(leaves(chunks)), "leaves")
     digest = now.groupBy("file_path").agg(_merkle().alias("new_hash"))
     dirty = digest.join(before.select("file_path", "hash"), "file_path", "left").filter(~F.col("new_hash").eqNullSafe(F.col("hash"))).select("file_path")
     rebuilt = files_level(now.join(dirty, "file_path", "left_semi"))
@@ -155,19 +182,18 @@ def update_levels(before: DataFrame, chunks: DataFrame) -> DataFrame:
     return kept.union(rebuilt)
 
 
-
-
 def update_tree(before1: DataFrame, before2: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Levels 1 to 3 after a change, bottom up: only files with changed chunks, and modules with changed files, are built anew.
 
     before1, before2: the file and module nodes of the old tree; chunks: all now.
     """
-    level1 = update_levels(before1, chunks)
+    scratch = Scratch(chunks.sparkSession, "update")
+    level1, before2 = scratch.save(update_levels(before1, chunks), "files"), scratch.save(before2, "modules")
     digest = level1.groupBy("module").agg(_merkle().alias("new_hash"))
     dirty = digest.join(before2.select("module", "hash"), "module", "left").filter(~F.col("new_hash").eqNullSafe(F.col("hash"))).select("module")
     rebuilt = modules_level(level1.join(dirty, "module", "left_semi"))
     kept = before2.join(digest.select("module"), "module", "left_semi").join(dirty, "module", "left_anti").select(rebuilt.columns)
-    level2 = kept.union(rebuilt)
+    level2 = scratch.save(kept.union(rebuilt), "modules-now")
     return level1, level2, repository_level(level2)
 
 

@@ -103,7 +103,7 @@ def q_implementation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree after documents were added, removed and edited, brought up to date from the tree before."""
     before, after = _mutated(spark, sf_dir)
-    old1 = H.files_level(H.leaves(as_chunks(before)))
+    old1 = Scratch(spark, "before").save(H.files_level(H.measured(H.leaves(as_chunks(before)))), "files")
     l1, l2, l3 = H.update_tree(old1, H.modules_level(old1), as_chunks(after))
     part = lambda d: d.select("level", "node_id", "members", "summary", F.round("quality", 6).alias("quality"))
     return part(l1).union(part(l2)).union(part(l3))

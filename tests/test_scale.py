@@ -103,6 +103,36 @@ def test_hubs_and_long_chains(spark):
     assert len(kept) == 2  # the last round's edges and the result: those before are let go
 
 
+def _chunks(spark, texts, edit=""):
+    rows = [(f"c{d}-{k}", f"src/m{d % 3}/doc_{d}.txt", f"m{d % 3}", "en", k, t + (edit if d % 4 == 1 else "")) for d, parts in enumerate(texts) for k, t in enumerate(parts)]
+    return spark.createDataFrame(rows, "chunk_id string, file_path string, module string, language string, chunk_no int, content string")
+
+
+TEXTS = [[("Some words of it. " * (d * 7 % 60 + 1)).strip() + f"\nerror {d}-{k} ü" for k in range(d % 4 + 1)] for d in range(24)]
+
+
+def test_the_tree_reads_its_chunks_once(spark):
+    from chunkweave.operators import hierarchy as H
+
+    chunks, made = counted(spark, _chunks(spark, TEXTS))
+    n = sum(map(len, TEXTS))
+    t = H.tree(chunks)
+    assert made.value == n
+    whole = H.files_level(H.leaves(_chunks(spark, TEXTS)))
+    assert {r["node_id"]: r["content_size"] for r in t.filter("level = 1").collect()} == {r["node_id"]: len(r["content"]) for r in whole.collect()}
+    before, made_before = counted(spark, _chunks(spark, TEXTS))
+    after, made_after = counted(spark, _chunks(spark, TEXTS[:20], " edited"))
+    old = H.files_level(H.measured(H.leaves(before)))
+    from chunkweave.session import Scratch
+
+    old = Scratch(spark, "before").save(old, "files")
+    levels = H.update_tree(old, H.modules_level(old), after)
+    want = H.tree(_chunks(spark, TEXTS[:20], " edited"))
+    for k, level in enumerate(levels, 1):
+        assert {r["node_id"]: r["hash"] for r in level.collect()} == {r["node_id"]: r["hash"] for r in want.filter(F.col("level") == k).collect()}
+    assert made_before.value == n and made_after.value == sum(map(len, TEXTS[:20]))
+
+
 def _folders(spark):
     import pathlib
 
