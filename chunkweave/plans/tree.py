@@ -50,11 +50,18 @@ def q_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.subtree(t, t.filter("level = 2"), 2).groupBy("root", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks to be searched, with as much of their text as searches look at or give (500 characters) and one more, which tells that there is more."""
+    return H.leaves(chunk_table(spark, sf_dir), 501)
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    l0 = H.leaves(chunk_table(spark, sf_dir)).withColumn("summary", F.lit(None).cast("string"))
-    l1 = Scratch(spark, "levels").save(H.files_level(l0.drop("summary")), "files")  # searched by itself and below the modules
+    """Chunks, files and modules to be searched; chunks and files are written once."""
+    scratch = Scratch(spark, "levels")
+    l0 = scratch.save(_leaves(spark, sf_dir), "chunks")
+    l1 = scratch.save(H.files_level(l0).withColumn("content", F.substring("content", 1, 501)), "files")
     l2 = H.modules_level(l1).withColumn("content", F.lit(""))
-    return l0, l1, l2
+    return l0.withColumn("summary", F.lit(None).cast("string")), l1, l2
 
 
 def q_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +84,8 @@ def q_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks for a question under a budget of 200 tokens."""
-    found = L.level_search(_levels(spark, sf_dir)[0], "text_block the", 20, 200)
+    l0 = Scratch(spark, "budget").save(_leaves(spark, sf_dir), "chunks").withColumn("summary", F.lit(None).cast("string"))  # scored to filter and to sort
+    found = L.level_search(l0, "text_block the", 20, 200)
     return L.within_budget(found, 200)
 
 

@@ -133,6 +133,20 @@ def test_the_tree_reads_its_chunks_once(spark):
     assert made_before.value == n and made_after.value == sum(map(len, TEXTS[:20]))
 
 
+def test_searches_of_cut_texts_equal_those_of_whole_ones(spark):
+    from chunkweave.operators import hierarchy as H
+    from chunkweave.operators import search as L
+
+    whole, cut = H.leaves(_chunks(spark, TEXTS)), H.leaves(_chunks(spark, TEXTS), 501)
+    assert cut.agg(F.max(F.length("content"))).first()[0] == 501 < whole.agg(F.max(F.length("content"))).first()[0]
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    blank = F.lit(None).cast("string")
+    files = H.files_level(cut).withColumn("content", F.substring("content", 1, 501))
+    for cap in (200, 500):
+        assert rows(L.level_search(whole.withColumn("summary", blank), "error technical words", 50, cap)) == rows(L.level_search(cut.withColumn("summary", blank), "error technical words", 50, cap))
+        assert rows(L.level_search(H.files_level(whole), "error technical words", 50, cap)) == rows(L.level_search(files, "error technical words", 50, cap))
+
+
 def _folders(spark):
     import pathlib
 
