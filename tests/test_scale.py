@@ -147,6 +147,15 @@ def test_searches_of_cut_texts_equal_those_of_whole_ones(spark):
         assert rows(L.level_search(H.files_level(whole), "error technical words", 50, cap)) == rows(L.level_search(files, "error technical words", 50, cap))
 
 
+def test_links_of_classes_and_patterns_read_their_rows_once(spark):
+    from chunkweave.operators import similarity as M
+
+    rows, made = counted(spark, spark.createDataFrame([(k, k % 5) for k in range(50)], "id long, kind int"))
+    assert {r["n_links"] for r in M.class_links(rows, "kind", "id").collect()} == {9} and made.value == 50
+    rows, made = counted(spark, spark.createDataFrame([(k, f"p{k % 2}", (k % 10) / 10) for k in range(40)], "id long, pattern string, confidence double"))
+    assert M.pattern_links(rows).count() == 40 and made.value == 40
+
+
 def _folders(spark):
     import pathlib
 
